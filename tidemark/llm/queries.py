@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import symbol_list
-from tidemark.llm import bpe, cooccur, nearest
+from tidemark.functions.text import source_name, symbol_list
+from tidemark.llm import boilerplate, bpe, cooccur, nearest
 from tidemark.operators.deliveries import TRADE_IDENTITY, first_deliveries
 from tidemark.sources.tables import table
 
@@ -37,12 +37,32 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("symbol_a"), F.col("item_b").alias("symbol_b"), "n_ab", "n_a", "n_b", "n_all", "ratio", "odds_ratio")
 
 
+def _article_lines(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "news_articles").select("id", "source", "content_text")
+    return boilerplate.article_lines(articles, "id", source_name("source"), "content_text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each place of a line that at least 5 articles and 2 % of its source's articles have."""
+    lines = _article_lines(spark, d)
+    wanted = boilerplate.repeated_lines(lines, boilerplate.Excess(), exact=True)
+    return boilerplate.occurrences(lines, wanted).select(F.col("key").alias("article_id"), "line_no")
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every article's text without the lines of its source's near-duplicate clusters that are in too many articles."""
+    lines = _article_lines(spark, d)
+    wanted = boilerplate.repeated_lines(lines, boilerplate.Excess(), exact=False)
+    gone = boilerplate.occurrences(lines, wanted)
+    return boilerplate.without_lines(table(spark, d, "news_articles"), "id", "content_text", gone, "clean_text")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.with_ids(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p7_ids)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p6_found, p6_clean, p7_ids)}
 
 _FIRST = f"SELECT {', '.join(TRADE_IDENTITY)}, min(ingest_seq) AS ingest_seq FROM stock_trades GROUP BY {', '.join(TRADE_IDENTITY)}"
 
@@ -67,4 +87,10 @@ ORACLES = {
       SELECT trade_seq, quote_seq FROM r WHERE k = 1""",
     "p3_found": f"SELECT symbol_a, symbol_b FROM ({_PAIRS}) WHERE n_ab::HUGEINT * n_all >= 4 * n_a::HUGEINT * n_b",
     "p3_pairs": _PAIRS,
+    "p6_found": r"""
+      WITH a AS (SELECT id, lower(trim(source, ' ')) AS source, string_split(content_text, chr(10)) AS parts FROM news_articles WHERE source IS NOT NULL AND content_text <> ''),
+      l AS (SELECT id, source, generate_subscripts(parts, 1) AS line_no, trim(regexp_replace(unnest(parts), '[ \t\r\x{00A0}]+', ' ', 'g'), ' ') AS line FROM a),
+      n AS (SELECT source, count(*) AS articles FROM a GROUP BY 1),
+      r AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT id) AS c FROM l WHERE line <> '' GROUP BY 1, 2) JOIN n USING (source) WHERE c >= 5 AND c * 100 >= articles * 2)
+      SELECT id AS article_id, CAST(line_no AS BIGINT) AS line_no FROM l JOIN r USING (source, line)""",
 }
