@@ -17,11 +17,11 @@ def with_positions(df: DataFrame, group: list[str], slot: str, order: list[str],
 
     ``slot`` must not decrease along the wanted order and should cut a hot group
     into many parts. Group and slot values must not be null. ``order`` should be
-    unique within a slot; the counts read one of its columns so that both uses of
-    ``df`` share one exchange.
+    unique within a slot and end in an integer column; the counts read that column so
+    that both uses of ``df`` need the same columns and share one exchange.
     """
     keys = [*group, slot]
-    sizes = df.groupBy(*keys).agg(F.count(F.coalesce(F.col(order[-1]), F.lit(0))).alias("_n"))
+    sizes = df.groupBy(*keys).agg(F.sum(F.col(order[-1]) * 0 + 1).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(*order)
@@ -44,18 +44,17 @@ def into_chunks(df: DataFrame, pos: str, size: int, halo: int) -> DataFrame:
 
 def _coarse(value: Column) -> Column:
     """A bucket that never decreases as the value grows."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) * 1048576.0 + 1.0) * 8.0)).cast("int")
+    return (F.signum(value) * F.floor(F.log2(F.abs(value) * 1048576.0 + 1.0) * 32.0)).cast("int")
 
 
 def group_medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
     """Exact median of ``value`` per group (mean of the two middle ones if even), nulls left out.
 
-    Equal values are counted before the shuffle; a coarse histogram then finds
-    the bucket of the middle, and only that bucket is ordered.
+    A histogram, counted before the shuffle, finds the bucket of the middle; only
+    the values of that bucket are counted and ordered.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = counted.withColumn("_b", _coarse(F.col("_v")))
-    by_bucket = counted.groupBy(*group, "_b").agg(F.sum("_n").alias("_m"))
+    values = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_b", _coarse(F.col("_v")))
+    by_bucket = values.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_m"))
     run = Window.partitionBy(*group).orderBy("_b")
     placed = by_bucket.select(
         *group, "_b", "_m",
@@ -66,6 +65,7 @@ def group_medians(df: DataFrame, group: list[str], value: str, name: str = "medi
     middle = placed.filter(((low > F.col("_upto") - F.col("_m")) & (low <= F.col("_upto"))) | ((high > F.col("_upto") - F.col("_m")) & (high <= F.col("_upto"))))
     middle = middle.select(*group, "_b", (F.col("_upto") - F.col("_m")).alias("_skip"), "_all")
     inner = Window.partitionBy(*group, "_b").orderBy("_v")
-    fine = counted.join(middle, [*group, "_b"]).withColumn("_to", F.col("_skip") + F.sum("_n").over(inner))
+    counted = values.join(middle, [*group, "_b"]).groupBy(*group, "_b", "_v", "_skip", "_all").agg(F.count(F.lit(1)).alias("_n"))
+    fine = counted.withColumn("_to", F.col("_skip") + F.sum("_n").over(inner))
     pick = lambda rank: F.max(F.when((rank > F.col("_to") - F.col("_n")) & (rank <= F.col("_to")), F.col("_v")))
     return fine.groupBy(*group).agg(((pick(low) + pick(high)) / 2.0).alias(name))

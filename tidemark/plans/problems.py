@@ -100,7 +100,7 @@ def _minute_volumes(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Trades and minute bars implausible for their own symbol on that day."""
     prices = spikes.running_median_flags(
-        _trade_prices(spark, d), ["symbol", "day"], F.expr("ts_us div 60000000"), ["ts_us", "ingest_seq"], "ingest_seq", "price",
+        _trade_prices(spark, d), ["symbol", "day"], F.expr("ts_us div 600000000"), ["ts_us", "ingest_seq"], "ingest_seq", "price",
         reach=10, factor=10.0, min_run=12,
     )
     volumes = spikes.level_flags(
@@ -114,7 +114,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_innovations(spark: SparkSession, d: str) -> DataFrame:
     """Trades a Kalman filter per symbol and day finds implausible, with the standardised innovation."""
     return spikes.kalman_flags(
-        _trade_prices(spark, d), ["symbol", "day"], F.expr("ts_us div 60000000"), ["ts_us", "ingest_seq"], "ingest_seq", "price",
+        _trade_prices(spark, d), ["symbol", "day"], F.expr("ts_us div 600000000"), ["ts_us", "ingest_seq"], "ingest_seq", "price",
     )
 
 
