@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import source_name, symbol_list
-from tidemark.llm import boilerplate, bpe, cooccur, nearest
+from tidemark.llm import boilerplate, bpe, cooccur, nearest, packing, spans
 from tidemark.operators.deliveries import TRADE_IDENTITY, first_deliveries
 from tidemark.sources.tables import table
 
@@ -62,7 +62,39 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.with_ids(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p6_found, p6_clean, p7_ids)}
+def _packs(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    items = bpe.with_token_count(documents, count="tokens").withColumn("loss", F.col("tokens"))
+    return packing.pack_all(items.filter("tokens > 0"), "doc_id", table(spark, d, "pack_capacity"))
+
+
+def p8_packs(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or piece of a document larger than a container, for each capacity."""
+    return _packs(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity the number of containers, the fewest there could be, and the share of room left unused."""
+    sums = _packs(spark, d).groupBy("pack_name", "container_id").agg(F.sum("piece_tokens").alias("t"))
+    totals = sums.groupBy("pack_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"))
+    room = F.col("containers") * F.col("capacity_tokens")
+    return totals.join(table(spark, d, "pack_capacity"), "pack_name").select(
+        "pack_name", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), ((room - F.col("tokens")) / room).alias("unused")
+    )
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of 200 or more characters of a document that also stands in another one."""
+    return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every document is shared."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return spans.shared_share(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p6_found, p6_clean, p7_ids, p8_packs, p8_fill, p9_found, p9_share)}
 
 _FIRST = f"SELECT {', '.join(TRADE_IDENTITY)}, min(ingest_seq) AS ingest_seq FROM stock_trades GROUP BY {', '.join(TRADE_IDENTITY)}"
 
