@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import market, problems
 
-FLAGSHIP = "p1_found"
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+FLAGSHIP = "symbol_context"
+QUERIES = {**problems.QUERIES, **market.QUERIES}
+ORACLES = {**problems.ORACLES, **market.ORACLES}
