@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,22 +66,67 @@ def triggers(bars: DataFrame, rule: TriggerRule = TriggerRule()) -> DataFrame:
     return out.select("symbol", "ts", "_t.*")
 
 
-def leading_edge(alerts: DataFrame, key: list[str], window_s: int, span_s: int = 86_400) -> DataFrame:
-    """Alerts kept when repeats of a key within ``window_s`` after a kept one are suppressed; suppressed ones extend nothing.
+def leading_edge(alerts: DataFrame, key: list[str], time: str, window: int) -> DataFrame:
+    """Alerts kept when repeats of a key within less than ``window`` after a kept one are suppressed; suppressed ones extend nothing.
 
-    Times of a key are folded in order; the fold is cut wherever a gap of at least
-    ``window_s`` makes the next alert a kept one anyway, so a busy key becomes many
-    short runs. ``ts`` is in seconds; rows of equal key and time count once.
+    Each key is folded in order of ``time`` (an integer) as its rows stream by; only the time last
+    kept is held. Of rows of equal key and time one is kept. Rows with a null time are left out.
     """
-    order = Window.partitionBy(*key).orderBy("ts")
-    once = alerts.dropDuplicates([*key, "ts"])
-    opens = F.coalesce(F.col("ts") - F.lag("ts").over(order) >= window_s, F.lit(True))
-    runs = once.withColumn("_run", F.sum(opens.cast("int")).over(order))
-    folded = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list("ts")).alias("_all"))
-    kept = F.aggregate(
-        "_all",
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= window_s), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    times = folded.select(*key, F.explode(kept).alias("ts"))
-    return once.join(times, [*key, "ts"], "left_semi")
+    ordered = alerts.filter(F.col(time).isNotNull()).repartition(*key).sortWithinPartitions(*key, time)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            keep = []
+            keys = zip(*(batch.column(k).to_pylist() for k in key), strict=True)
+            for k, t in zip(keys, batch.column(time).to_pylist(), strict=True):
+                fresh = k != at or t - last >= window
+                if fresh:
+                    at, last = k, t
+                keep.append(fresh)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(kernel, alerts.schema)
+
+
+class Quota:
+    """A sliding quota for each of an event's symbols; an event passes if any symbol is below it, and only those pay."""
+
+    def __init__(self, limit: int, span: int) -> None:
+        self.limit, self.span = limit, span
+        self.paid: dict[str, deque[int]] = {}
+
+    def admit(self, symbols: list[str] | None, time: int) -> list[str] | None:
+        """The symbols that pay, or None if the event is over quota. Times must not decrease."""
+        below = []
+        for s in sorted(set(symbols or [""])):
+            times = self.paid.setdefault(s, deque())
+            while times and time - times[0] > self.span:
+                times.popleft()
+            if len(times) < self.limit:
+                below.append(s)
+        for s in below:
+            self.paid[s].append(time)
+        return below or None
+
+
+def within_quota(alerts: DataFrame, time: str, limit: int = 10, span: int = 3600) -> DataFrame:
+    """Alerts (``category``, ``severity``, ``symbols``) that pass the hourly quota of their symbols; critical ones always do and pay nothing.
+
+    The decisions of a category depend on each other through shared symbols, so each
+    category is folded in order as its rows stream by; held are the times of the last hour.
+    """
+    ordered = alerts.filter(F.col(time).isNotNull()).repartition("category").sortWithinPartitions("category", time)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, quota = None, Quota(limit, span)
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("category", "severity", "symbols", time))
+            for category, severity, symbols, t in zip(*columns, strict=True):
+                if category != at:
+                    at, quota = category, Quota(limit, span)
+                keep.append(severity == "critical" or quota.admit(symbols, t) is not None)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(kernel, alerts.schema)

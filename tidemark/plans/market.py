@@ -150,7 +150,7 @@ def bar_triggers(spark: SparkSession, d: str) -> DataFrame:
 def market_alerts(spark: SparkSession, d: str) -> DataFrame:
     """Triggers without repeats of a symbol and category within 300 seconds of a kept one."""
     found = triggers.triggers(_minutes(spark, d), RULE)
-    return triggers.leading_edge(found.select("symbol", "category", "ts"), ["symbol", "category"], 300)
+    return triggers.leading_edge(found.select("symbol", "category", "ts"), ["symbol", "category"], "ts", 300)
 
 
 def halted_symbols(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, problems
+from tidemark.plans import market, news, problems
 
 FLAGSHIP = "symbol_context"
-QUERIES = {**problems.QUERIES, **market.QUERIES}
-ORACLES = {**problems.ORACLES, **market.ORACLES}
+QUERIES = {**problems.QUERIES, **market.QUERIES, **news.QUERIES}
+ORACLES = {**problems.ORACLES, **market.ORACLES, **news.ORACLES}
