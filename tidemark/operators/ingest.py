@@ -1,0 +1,56 @@
+"""Filling gaps and replaying what was set aside."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def fill_starts(wanted: DataFrame, bars: DataFrame, now: int, fallback_s: int = 3600, most_s: int = 86_400) -> DataFrame:
+    """From when each symbol must be fetched again: its newest bar, else ``fallback_s`` back, ``most_s`` back at most.
+
+    ``bucket`` rounds the start down to five minutes, so that near ones share a request.
+    """
+    newest = bars.filter("timeframe = '1min'").groupBy("symbol").agg(F.max("ts").alias("_ts"))
+    start = F.greatest(F.coalesce("_ts", F.lit(now - fallback_s)), F.lit(now - most_s))
+    starts = wanted.select("symbol").distinct().join(newest, "symbol", "left").select("symbol", start.alias("start"))
+    return starts.withColumn("bucket", F.col("start") - F.col("start") % 300)
+
+
+def since_own_start(fetched: DataFrame, starts: DataFrame) -> DataFrame:
+    """Fetched bars at or after the start of their own symbol."""
+    return fetched.join(starts.select("symbol", "start"), "symbol").filter(F.col("ts") >= F.col("start")).drop("start")
+
+
+def to_replay(raw_events: DataFrame, endpoint: str = "queue_overflow_drop", limit: int = 100) -> DataFrame:
+    """The oldest events of ``endpoint`` not replayed yet, a batch of ``limit`` at most."""
+    return raw_events.filter((F.col("endpoint") == endpoint) & ~F.coalesce("replayed", F.lit(False))).orderBy("received_at", "event_id").limit(limit)
+
+
+def mark_replayed(raw_events: DataFrame, done: DataFrame) -> DataFrame:
+    """``raw_events`` with those of ``done`` marked, whether they could be parsed or not."""
+    ids = done.select("event_id", F.lit(True).alias("_done")).distinct()
+    marked = raw_events.join(ids, "event_id", "left")
+    return marked.withColumn("replayed", F.coalesce("replayed", F.lit(False)) | F.coalesce("_done", F.lit(False))).drop("_done")
+
+
+def parsed_or_text(raw_events: DataFrame) -> DataFrame:
+    """Raw events with ``parsed`` (a variant, null if the text is no JSON) beside the text."""
+    return raw_events.withColumn("parsed", F.try_parse_json("raw_json"))
+
+
+def outcomes(states: DataFrame) -> DataFrame:
+    """How many updates (states after ``upsert.apply_updates``) were new, changed an article, or repeated it."""
+    kind = F.when(F.col("was_new"), "new").when(F.col("changed"), "updated").otherwise("duplicate")
+    return states.groupBy(kind.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def acknowledged(alerts: DataFrame, acks: DataFrame) -> DataFrame:
+    """Alerts with the flag set for those in ``acks`` (``alert_id``)."""
+    seen = acks.select("alert_id", F.lit(True).alias("_ack")).distinct()
+    return alerts.join(seen, "alert_id", "left").withColumn("acknowledged", F.coalesce("acknowledged", F.lit(False)) | F.coalesce("_ack", F.lit(False))).drop("_ack")
+
+
+def latest_status(rows: DataFrame) -> DataFrame:
+    """The last value of each key (``key``, ``value_json``, ``updated_at``)."""
+    return rows.groupBy("key").agg(F.max_by(F.struct("value_json", "updated_at"), "updated_at").alias("_v")).select("key", "_v.*")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, news, problems
+from tidemark.plans import market, news, problems, streams
 
 FLAGSHIP = "symbol_context"
-QUERIES = {**problems.QUERIES, **market.QUERIES, **news.QUERIES}
-ORACLES = {**problems.ORACLES, **market.ORACLES, **news.ORACLES}
+QUERIES = {**problems.QUERIES, **market.QUERIES, **news.QUERIES, **streams.QUERIES}
+ORACLES = {**problems.ORACLES, **market.ORACLES, **news.ORACLES, **streams.ORACLES}
