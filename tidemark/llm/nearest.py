@@ -138,7 +138,7 @@ def stream_nearest(left: DataFrame, right: DataFrame, entity: str, time: str, se
         rows += [f[["time", "side", "seq"]] for f in frames]
         held = pd.concat(rows, ignore_index=True).astype("int64").sort_values(["time", "side", "seq"], kind="stable")
         mark = state.getCurrentWatermarkMs() * 1000
-        end = (key[1] + 1) * span_us + tolerance_us
+        end = (int(key[1]) + 1) * span_us + tolerance_us
         held_time, side, number = (held[c].to_numpy() for c in ("time", "side", "seq"))
         passed = held_time + tolerance_us < mark if not state.hasTimedOut else np.ones(len(held), bool)
         lefts = np.flatnonzero((side == LEFT) & passed)
@@ -149,7 +149,7 @@ def stream_nearest(left: DataFrame, right: DataFrame, entity: str, time: str, se
             state.remove()
         else:
             state.update(tuple(x[keep].tolist() for x in (held_time, side, number)))
-            state.setTimeoutTimestamp(max(end // 1000 + 1, mark // 1000 + 1))
+            state.setTimeoutTimestamp(max(end, mark) // 1000 + 1)
         yield out
 
     return timed.groupBy("entity", "span").applyInPandasWithState(
