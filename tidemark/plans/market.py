@@ -282,7 +282,7 @@ def _local(seconds: str) -> str:
 def _phase(seconds: str) -> str:
     m = f"(hour({_local(seconds)}) * 60 + minute({_local(seconds)}))"
     return (
-        f"CASE WHEN dayofweek({_local(seconds)}) IN (0, 6) THEN 'closed' WHEN {m} >= 570 AND {m} < 960 THEN 'open'"
+        f"CASE WHEN dayofweek({_local(seconds)}) NOT BETWEEN 1 AND 5 THEN 'closed' WHEN {m} >= 570 AND {m} < 960 THEN 'open'"
         f" WHEN {m} >= 240 AND {m} < 570 THEN 'premarket' WHEN {m} >= 960 AND {m} < 1200 THEN 'afterhours' ELSE 'closed' END"
     )
 
