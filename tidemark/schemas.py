@@ -13,13 +13,13 @@ BANDS = "symbol string, ts_us long, limit_up double, limit_down double, indicato
 RAW_EVENTS = "event_id string, received_at string, endpoint string, message_type string, raw_json string, replayed boolean"
 ALERTS = "alert_id string, article_id long, created_at string, severity string, category string, symbols array<string>, headline string, reason string, acknowledged boolean, raw_json string, content_hash string, direction string, seq long"
 
-#: Keys mean different things in frames of different kinds, so each kind has a schema of its own.
+#: Keys mean different things in frames of different kinds, so each kind has types of its own.
 FRAME = {
-    "t": "S string, i long, x string, p double, s long, c array<string>, z string, t string",
-    "q": "S string, bx string, bp double, bs long, ax string, ap double, `as` long, c array<string>, z string, t string",
-    "b": "S string, o double, h double, l double, c double, v long, n long, vw double, t string",
-    "s": "S string, sc string, sm string, rc string, rm string, z string, t string",
-    "l": "S string, u double, d double, i string, z string, t string",
+    "t": {"i": "long", "x": "string", "p": "double", "s": "long", "z": "string"},
+    "q": {"bx": "string", "bp": "double", "bs": "long", "ax": "string", "ap": "double", "as": "long", "z": "string"},
+    "b": {"o": "double", "h": "double", "l": "double", "c": "double", "v": "long", "n": "long", "vw": "double"},
+    "s": {"sc": "string", "sm": "string", "rc": "string", "rm": "string", "z": "string"},
+    "l": {"u": "double", "d": "double", "i": "string", "z": "string"},
 }
 ARTICLE = "T string, id string, headline string, summary string, author string, created_at string, updated_at string, content string, url string, symbols string, source string"
 

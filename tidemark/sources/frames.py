@@ -24,9 +24,19 @@ def decode(values: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.get_json_object("raw_json", "$.T"))
 
 
-def _parsed(frames: DataFrame, kinds: list[str], schema: str) -> DataFrame:
-    rows = frames.filter(F.col("kind").isin(kinds)).withColumn("f", F.from_json("raw_json", schema))
-    return rows.withColumn("symbol", F.upper("f.S")).withColumn("ts_us", instant_us(F.col("f.t")))
+def _parsed(frames: DataFrame, kinds: list[str]) -> DataFrame:
+    """Frames of some kinds as variants; keys of a frame differ in case only, which a struct can't hold."""
+    rows = frames.filter(F.col("kind").isin(kinds)).withColumn("f", F.try_parse_json("raw_json"))
+    return rows.withColumn("symbol", F.upper(_get("S", "string"))).withColumn("ts_us", instant_us(_get("t", "string")))
+
+
+def _get(key: str, kind: str) -> Column:
+    return F.try_variant_get("f", f"$.{key}", kind)
+
+
+def _fields(letter: str, **named: str) -> list[Column]:
+    """Columns by the keys of a kind of frame, with the types the schema of that kind gives."""
+    return [_get(short, schemas.FRAME[letter][short]).alias(name) for name, short in named.items()]
 
 
 def _usable(extra: Column | None = None) -> Column:
@@ -34,35 +44,31 @@ def _usable(extra: Column | None = None) -> Column:
     return F.coalesce(test if extra is None else test & extra, F.lit(False))
 
 
-def _fields(**named: str) -> list[Column]:
-    return [F.col(f"f.`{short}`").alias(name) for name, short in named.items()]
-
-
 def route(frames: DataFrame) -> dict[str, DataFrame]:
     """The market tables of decoded frames.
 
-    A trade needs a symbol, a time and a numeric price; all others a symbol and a
-    time. Statuses and bands are kept raw as well, as is all that fits nowhere.
+    A trade needs a symbol, a time and a price that is a number, not a text or a truth value;
+    all others a symbol and a time. Statuses and bands are kept raw as well, as is all that fits nowhere.
     """
-    conditions = F.array_join("f.c", ",").alias("conditions")
-    t, q, b, s, band = (_parsed(frames, k, schemas.FRAME[k[0]]) for k in (["t"], ["q"], ["b", "u", "d"], ["s"], ["l"]))
-    priced = _usable(F.col("f.p").isNotNull())
+    conditions = F.array_join(_get("c", "array<string>"), ",").alias("conditions")
+    t, q, b, s, band = (_parsed(frames, k) for k in (["t"], ["q"], ["b", "u", "d"], ["s"], ["l"]))
+    priced = _usable(F.schema_of_variant(F.try_variant_get("f", "$.p", "variant")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
     rest = frames.filter(~F.coalesce(F.col("kind").isin("t", "q", "b", "u", "d", "s", "l"), F.lit(False))).select("kind", "raw_json")
     unusable = [x.filter(~ok).select("kind", "raw_json") for x, ok in ((t, priced), (q, _usable()), (b, _usable()))]
     raw = rest
     for one in [*unusable, s.select("kind", "raw_json"), band.select("kind", "raw_json")]:
         raw = raw.unionAll(one)
     return {
-        "trades": t.filter(priced).select("symbol", "ts_us", *_fields(price="p", size="s", exchange="x"), conditions, *_fields(tape="z", trade_id="i")),
+        "trades": t.filter(priced).select("symbol", "ts_us", *_fields("t", price="p", size="s", exchange="x"), conditions, *_fields("t", tape="z", trade_id="i")),
         "quotes": q.filter(_usable()).select(
-            "symbol", "ts_us", *_fields(bid_price="bp", bid_size="bs", bid_exchange="bx", ask_price="ap", ask_size="as", ask_exchange="ax"), conditions, *_fields(tape="z")
+            "symbol", "ts_us", *_fields("q", bid_price="bp", bid_size="bs", bid_exchange="bx", ask_price="ap", ask_size="as", ask_exchange="ax"), conditions, *_fields("q", tape="z")
         ),
         "bars": b.filter(_usable()).select(
             "symbol", F.when(F.col("kind") == "d", "1day").otherwise("1min").alias("timeframe"), F.expr("ts_us div 1000000").alias("ts"),
-            *_fields(open="o", high="h", low="l", close="c", volume="v", trade_count="n", vwap="vw"), (F.col("kind") == "b").alias("is_first_print"),
+            *_fields("b", open="o", high="h", low="l", close="c", volume="v", trade_count="n", vwap="vw"), (F.col("kind") == "b").alias("is_first_print"),
         ),
-        "statuses": s.filter(_usable()).select("symbol", "ts_us", *_fields(status_code="sc", status_msg="sm", reason_code="rc", reason_msg="rm", tape="z")),
-        "bands": band.filter(_usable()).select("symbol", "ts_us", *_fields(limit_up="u", limit_down="d", indicator="i", tape="z")),
+        "statuses": s.filter(_usable()).select("symbol", "ts_us", *_fields("s", status_code="sc", status_msg="sm", reason_code="rc", reason_msg="rm", tape="z")),
+        "bands": band.filter(_usable()).select("symbol", "ts_us", *_fields("l", limit_up="u", limit_down="d", indicator="i", tape="z")),
         "raw": raw.select(F.coalesce("kind", F.lit("None")).alias("message_type"), "raw_json"),
     }
 
