@@ -16,11 +16,13 @@ def with_positions(df: DataFrame, group: list[str], slot: str, order: list[str],
     """Add the 0-based position of each row in its group, ordered by ``slot`` and then ``order``.
 
     ``slot`` must not decrease along the wanted order and should cut a hot group
-    into many parts. Group and slot values must not be null. ``order`` should be
+    into many parts. Rows with a null group or slot drop out. ``order`` should be
     unique within a slot and end in an integer column; the counts read that column so
     that both uses of ``df`` need the same columns and share one exchange.
     """
     keys = [*group, slot]
+    for k in keys:  # the join would ask for this on one side only, and the exchanges would differ
+        df = df.filter(F.col(k).isNotNull())
     sizes = df.groupBy(*keys).agg(F.sum(F.col(order[-1]) * 0 + 1).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
