@@ -27,6 +27,7 @@ MAX_SYMBOLS, MAX_SYMBOL_MAP, MAX_SYMBOL_MAP_MINUTES, MAX_DIGEST = 50, 500, 10_08
 MAX_WINDOW_MINUTES, MAX_WINDOW_ROWS, MAX_BARS, MAX_BARS_CURSOR = 240, 1000, 1000, 2000
 MAX_CONTEXT_SYMBOLS, MAX_TAPE_BUCKETS, MAX_STATUSES, MAX_TOP = 20, 360, 200, 50
 MAX_INTEREST, MAX_WATCHED, MAX_WATCHLIST = 200, 50, 500
+MAX_CALENDAR_DAYS, MAX_ACTIONS = 90, 200
 MAX_GROUPS, MAX_PHRASES, MAX_PHRASE_CHARS, MAX_CONTENT_CHARS = 50, 100, 200, 4000
 STALE_SECONDS = 120.0
 FIELD_MODES = ("compact", "standard", "full")
@@ -430,6 +431,29 @@ class Engine:
         out = out.withColumn("on_watchlist", F.col("symbol").isin(self.watchlist) if self.watchlist else F.lit(False))
         return out.orderBy(F.desc(F.abs(F.coalesce("percent_change", F.lit(0.0)))), F.desc(F.coalesce("volume", F.lit(0))), "symbol")
 
+    def calendar(self, days: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Trading days (``date``, ...) from ``start`` to ``end``, 90 days at most; from today on by default."""
+        first = (time_bound("start", start) if start else self.as_of_us) // 86_400_000_000
+        last = time_bound("end", end) // 86_400_000_000 if end else first + MAX_CALENDAR_DAYS
+        bounded(last - first, MAX_CALENDAR_DAYS)
+        day = F.unix_date(F.to_date("date"))
+        return days.filter(day.between(first, last)).orderBy("date")
+
+    def corporate_actions(self, actions: DataFrame, symbols: Iterable[str] | None = None, types: Iterable[str] | None = None, start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
+        """Actions (``symbol``, ``type``, ``date``, ...) of symbols and types in a range of days, newest first."""
+        rows, wanted = actions, symbols_of(symbols)
+        if wanted:
+            rows = rows.filter(F.col("symbol").isin(wanted))
+        if types is not None:
+            rows = rows.filter(F.col("type").isin([t.strip().lower() for t in types]))
+        lower, upper = time_bound("start", start), time_bound("end", end)
+        day = F.unix_date(F.to_date("date"))
+        if lower is not None and upper is not None:
+            bounded((upper - lower) // 86_400_000_000, MAX_CALENDAR_DAYS)
+        rows = rows if lower is None else rows.filter(day >= lower // 86_400_000_000)
+        rows = rows if upper is None else rows.filter(day <= upper // 86_400_000_000)
+        return rows.orderBy(F.desc("date"), "symbol").limit(bounded(limit, MAX_ACTIONS))
+
     def clock(self, calendar: DataFrame | None = None) -> dict[str, object]:
         """Phase of the market and seconds to the next open and close, by a calendar (``date``, ``open_us``, ``close_us``) if there is one."""
         now = self.as_of_us
