@@ -19,6 +19,7 @@ from tidemark.functions.times import floor_to, instant_us
 from tidemark.operators import alerts as alert_ops
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import context, cursors, search, tape
+from tidemark.operators.ordered import order_statistics, percentile_ranks
 from tidemark.sources.tables import table
 
 # The bounds of requests.
@@ -204,12 +205,11 @@ class Engine:
         return out.fillna(0, ["articles", "bullish", "bearish", "neutral"])
 
     def latency_stats(self, minutes: int = 60) -> dict[str, int | None]:
-        rows = self._articles().filter((F.col("seen_us") >= self._since(minutes)) & (F.col("latency_ms") >= 0))
+        rows = self._articles().filter((F.col("seen_us") >= self._since(minutes)) & (F.col("latency_ms") >= 0)).select("latency_ms", F.lit(0).alias("_g"))
         total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("latency_ms").alias("s"), F.max("latency_ms").alias("m")).first()
-        n = total["n"]
-        at = {p: round(p / 100.0 * (n - 1)) + 1 for p in (50, 90, 99)} if n else {}
-        exact = rows.agg(*(F.expr(f"percentile_disc({min(1.0, (k - 0.5) / n)}) WITHIN GROUP (ORDER BY latency_ms)").alias(f"p{p}") for p, k in at.items())).first() if n else {}
-        return {"sample_count": n, "max_ms": total["m"], "avg_ms": int(total["s"] / n) if n else None} | {f"p{p}_ms": int(exact[f"p{p}"]) if n else None for p in (50, 90, 99)}
+        exact = order_statistics(rows, ["_g"], "latency_ms", percentile_ranks(50, 90, 99)).first()
+        out = {"sample_count": total["n"], "max_ms": total["m"], "avg_ms": total["s"] // total["n"] if total["n"] else None}
+        return out | {f"p{p}_ms": int(exact[f"p{p}"]) if exact else None for p in (50, 90, 99)}
 
     def ingestion_stats(self, minutes: int = 60) -> dict[str, int]:
         since = self._since(minutes)

@@ -49,11 +49,12 @@ def _coarse(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log2(F.abs(value) * 1048576.0 + 1.0) * 32.0)).cast("int")
 
 
-def group_medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median of ``value`` per group (mean of the two middle ones if even), nulls left out.
+def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[str, str]) -> DataFrame:
+    """The values at some ranks of each group's ascending order, nulls left out, as doubles.
 
-    A histogram, counted before the shuffle, finds the bucket of the middle; only
-    the values of that bucket are counted and ordered.
+    ``ranks`` gives for each column of the result a rank from 1, as SQL over ``_all``, the
+    number of values. A histogram, counted before the shuffle, finds the buckets these
+    ranks fall in; only the values of those buckets are counted and ordered.
     """
     values = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_b", _coarse(F.col("_v")))
     by_bucket = values.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_m"))
@@ -62,12 +63,24 @@ def group_medians(df: DataFrame, group: list[str], value: str, name: str = "medi
         *group, "_b", "_m",
         F.sum("_m").over(run).alias("_upto"),
         F.sum("_m").over(Window.partitionBy(*group)).alias("_all"),
-    )
-    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
-    middle = placed.filter(((low > F.col("_upto") - F.col("_m")) & (low <= F.col("_upto"))) | ((high > F.col("_upto") - F.col("_m")) & (high <= F.col("_upto"))))
-    middle = middle.select(*group, "_b", (F.col("_upto") - F.col("_m")).alias("_skip"), "_all")
+    )
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        wanted = wanted | ((F.expr(rank) > F.col("_upto") - F.col("_m")) & (F.expr(rank) <= F.col("_upto")))
+    chosen = placed.filter(wanted).select(*group, "_b", (F.col("_upto") - F.col("_m")).alias("_skip"), "_all")
     inner = Window.partitionBy(*group, "_b").orderBy("_v")
-    counted = values.join(middle, [*group, "_b"]).groupBy(*group, "_b", "_v", "_skip", "_all").agg(F.count(F.lit(1)).alias("_n"))
+    counted = values.join(chosen, [*group, "_b"]).groupBy(*group, "_b", "_v", "_skip", "_all").agg(F.count(F.lit(1)).alias("_n"))
     fine = counted.withColumn("_to", F.col("_skip") + F.sum("_n").over(inner))
-    pick = lambda rank: F.max(F.when((rank > F.col("_to") - F.col("_n")) & (rank <= F.col("_to")), F.col("_v")))
-    return fine.groupBy(*group).agg(((pick(low) + pick(high)) / 2.0).alias(name))
+    at = lambda rank: F.max(F.when((F.expr(rank) > F.col("_to") - F.col("_n")) & (F.expr(rank) <= F.col("_to")), F.col("_v")))
+    return fine.groupBy(*group).agg(*(at(rank).alias(name) for name, rank in ranks.items()))
+
+
+def group_medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median of ``value`` per group (mean of the two middle ones if even), nulls left out."""
+    both = order_statistics(df, group, value, {"_low": "(_all + 1) div 2", "_high": "_all div 2 + 1"})
+    return both.select(*group, ((F.col("_low") + F.col("_high")) / 2.0).alias(name))
+
+
+def percentile_ranks(*percents: int) -> dict[str, str]:
+    """Ranks of percentiles by index on the sorted values, the index rounded half to even."""
+    return {f"p{p}": f"bround({p / 100.0}D * (_all - 1), 0) + 1" for p in percents}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.html import html_text
@@ -11,7 +11,7 @@ from tidemark.functions.times import DAY_US, instant_us
 from tidemark.operators import alerts, retention, search, upsert
 from tidemark.operators.bars import newest
 from tidemark.operators.cursors import page
-from tidemark.operators.ordered import with_positions
+from tidemark.operators.ordered import order_statistics, percentile_ranks, with_positions
 from tidemark.plans.market import newest_value
 from tidemark.plans.problems import sql_instant_us
 from tidemark.sources.tables import table
@@ -144,17 +144,11 @@ def breaking_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latency_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles of the latency, by index on the sorted values, rounded half to even; counted per value before ordering."""
-    counts = table(spark, d, "news_articles").filter("latency_ms >= 0").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    placed = with_positions(counts.withColumn("_g", F.lit(0)).withColumn("_s", F.expr("latency_ms div 1000")), ["_g"], "_s", ["latency_ms"])
-    # one row per distinct value: running counts give each value's last index
-    run = Window.partitionBy("_g").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("latency_ms")).alias("s"), F.max("latency_ms").alias("m")).first()
-    n = total["n"] or 0
-    upto = placed.withColumn("_upto", F.sum("n").over(run))
-    at = {p: round(p / 100.0 * (n - 1)) if n else 0 for p in (50, 90, 99)}
-    picks = [F.min(F.when(F.col("_upto") > i, F.col("latency_ms"))).alias(f"p{p}_ms") for p, i in at.items()]
-    return upto.agg(*picks, F.lit(n).cast("long").alias("sample_count"), F.max("latency_ms").alias("max_ms"), F.lit(int(total["s"] / n) if n else None).cast("long").alias("avg_ms"))
+    """Exact percentiles of the latency, by index on the sorted values."""
+    rows = table(spark, d, "news_articles").filter("latency_ms >= 0").select("latency_ms", F.lit(0).alias("_g"))
+    picked = order_statistics(rows, ["_g"], "latency_ms", percentile_ranks(50, 90, 99))
+    totals = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("sample_count"), F.max("latency_ms").alias("max_ms"), F.expr("sum(latency_ms) div count(1)").alias("avg_ms"))
+    return picked.join(totals, "_g").select(*(F.col(p).cast("long").alias(f"{p}_ms") for p in ("p50", "p90", "p99")), "sample_count", "max_ms", "avg_ms")
 
 
 def ingestion_stats(spark: SparkSession, d: str) -> DataFrame:
