@@ -46,14 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the tables this application wrote to the shared folder; results that were not written elsewhere go with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage and lets several branches of a plan read one result; the
-    table survives the loss of executors. It stays until the folder is cleared.
+    table survives the loss of executors. It stays until :func:`clear_tables` or
+    until the folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

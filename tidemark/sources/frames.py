@@ -6,8 +6,14 @@ What can't be used is never dropped, it comes out as a raw row.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.types import StringType
 
 from tidemark import schemas
 from tidemark.functions.html import html_text
@@ -15,6 +21,21 @@ from tidemark.functions.text import clean_symbols, content_hash
 from tidemark.functions.times import instant, instant_us
 
 
+def from_msgpack(values: DataFrame) -> DataFrame:
+    """Binary msgpack frames as JSON text, for :func:`decode`; needs the msgpack package on the executors."""
+    try:
+        import msgpack
+    except ImportError:
+        raise RuntimeError("msgpack is not installed; send frames as JSON") from None
+
+    def text(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for frame in frames:
+            yield frame.map(lambda b: json.dumps(msgpack.unpackb(b, timestamp=3), default=str), na_action="ignore")
+
+    unpack = F.pandas_udf(text, StringType(), PandasUDFType.SCALAR_ITER)
+    return values.select(unpack("value").alias("value"))
+
+
 def decode(values: DataFrame) -> DataFrame:
     """One row ``raw_json`` and ``kind`` for each object of each frame; a frame is an object or an array of them, other elements drop out."""
     text = F.trim("value")
