@@ -15,10 +15,10 @@ def _col(spark, values, kind, make):
 
 
 def test_instants(spark):
-    values = ["2022-01-03T00:00:01Z", "2022-01-03 00:00:01.5", "2022-01-02T19:00:01-05:00", "2022-01-03", "2022-01-03T00:00:01.123456789Z", "yesterday", "", None, "2022", "2022-13-40T00:00:00Z", "n/a"]
+    values = ["2022-01-03T00:00:01Z", "2022-01-03 00:00:01.5", "2022-01-02T19:00:01-05:00", "2022-01-03", "2022-01-03T00:00:01.123456789Z", "yesterday", "", None, "2022", "2022-13-40T00:00:00Z", "n/a", "2022-01-03 01:00+01:00", "2022-01-03T00:00"]
     base = 1_641_168_001_000_000
     got = _col(spark, values, "string", instant_us)
-    assert got == [base, base + 500_000, base, base - 1_000_000, base + 123_456, None, None, None, None, None, None]
+    assert got == [base, base + 500_000, base, base - 1_000_000, base + 123_456, None, None, None, None, None, None, base - 1_000_000, base - 1_000_000]
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
         assert _col(spark, values, "string", instant_us) == got

@@ -21,6 +21,7 @@ def instant(text: Column | str) -> Column:
     col = F.col(text) if isinstance(text, str) else text
     dotted = F.translate(F.upper(F.trim(col)), ",", ".")
     dated = F.when(F.length(dotted) == 10, F.concat(dotted, F.lit("T00:00:00"))).otherwise(dotted)
+    dated = F.regexp_replace(dated, r"^(.{10}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
     zoned = F.when(dated.rlike(HAS_OFFSET), dated).otherwise(F.concat(dated, F.lit("Z")))
     return F.when(F.trim(col).rlike(TEXT_TIME), zoned.try_cast("timestamp"))
 

@@ -1,7 +1,7 @@
 """Keyword alerts of articles: rule groups, direction, severity, and suppression of copies.
 
-An article's text is tested once against each phrase (a cheap substring test first,
-then word borders), all in one scan without a join; at most one alert for each group leaves it.
+An article's text is read once for all phrases together, in one scan without a join;
+at most one alert for each group leaves it.
 """
 
 from __future__ import annotations
@@ -97,21 +97,41 @@ def _has(text: Column, phrase: str) -> Column:
     return F.contains(text, F.lit(phrase.lower())) & text.rlike(pattern(phrase))
 
 
-def matched(text: Column, words: list[str]) -> Column:
-    """The array of ``words`` that stand in a lower-cased text."""
-    if not words:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*(F.when(_has(text, w), F.lit(w)) for w in words if w)), lambda w: w.isNotNull())
+def hits(text: Column, words: list[str]) -> Column:
+    """The array of those ``words`` that stand in a lower-cased text, found in one pass.
+
+    At each word border the longest word that starts there is taken; shorter ones that
+    start at the same place are known from it beforehand. Words that start with
+    another character are looked for one by one.
+    """
+    words = [w for w in dict.fromkeys(words) if w]
+    plain = sorted((w for w in words if re.match(r"\w", w[0])), key=len, reverse=True)
+    found = F.array().cast("array<string>")
+    if plain:
+        ends = "|".join(r"\Q" + w + r"\E" + (r"\b" if re.match(r"\w", w[-1]) else "") for w in plain)
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?=({ends}))"), F.lit(1)))
+        inside = {w: [v for v in plain if v != w and re.match(re.escape(v) + (r"\b" if re.match(r"\w", v[-1]) else ""), w)] for w in plain}
+        more = [F.when(F.array_contains(found, w), F.array(*map(F.lit, vs))) for w, vs in inside.items() if vs]
+        for extra in more:
+            found = F.array_union(found, F.coalesce(extra, F.array().cast("array<string>")))
+    other = [w for w in words if w not in plain]
+    if other:
+        found = F.concat(found, F.array_compact(F.array(*(F.when(_has(text, w), F.lit(w)) for w in other))))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def among(found: Column, words: list[str]) -> Column:
+    return F.array_intersect(found, F.array(*map(F.lit, words)).cast("array<string>"))
 
 
 def article_text() -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("content_text", F.lit(""))))
 
 
-def direction(text: Column, rules: Rules) -> Column:
-    """Whether more bullish or more bearish terms stand in a lower-cased text."""
-    up, down = F.size(matched(text, rules.bullish)), F.size(matched(text, rules.bearish))
-    return F.when(up > down, "bullish").when(down > up, "bearish").otherwise("neutral")
+def direction(found: Column, rules: Rules) -> Column:
+    """Whether more bullish or more bearish terms were found."""
+    lead = F.size(among(found, rules.bullish)) - F.size(among(found, rules.bearish))
+    return F.when(lead > 0, "bullish").when(lead < 0, "bearish").otherwise("neutral")
 
 
 def article_alerts(articles: DataFrame, rules: Rules = Rules(), interest: list[str] = (), latency_ms: int | None = 30_000) -> DataFrame:
@@ -120,9 +140,11 @@ def article_alerts(articles: DataFrame, rules: Rules = Rules(), interest: list[s
     Gives ``article_id``, ``category``, ``severity``, ``symbols``, ``matches``, ``direction``.
     Latency is receipt minus the newest content time, else the stored figure; None switches its alert off.
     """
-    hits = F.array_intersect(F.coalesce("symbols", F.array().cast("array<string>")), F.array(*map(F.lit, interest)).cast("array<string>"))
-    base = articles.select("id", "symbols", "received_us", "latest_us", "latency_ms", article_text().alias("_text"), hits.alias("_hits"))
-    base = base.withColumn("_dir", direction(F.col("_text"), rules)).withColumns({f"_g{i}": matched(F.col("_text"), words) for i, words in enumerate(rules.groups.values())})
+    named = F.array_intersect(F.coalesce("symbols", F.array().cast("array<string>")), F.array(*map(F.lit, interest)).cast("array<string>"))
+    vocabulary = [*(w for words in rules.groups.values() for w in words), *rules.bullish, *rules.bearish, *BREAKING]
+    base = articles.select("id", "symbols", "received_us", "latest_us", "latency_ms", hits(article_text(), vocabulary).alias("_found"), named.alias("_hits"))
+    found_words = F.col("_found")
+    base = base.withColumn("_dir", direction(found_words, rules)).withColumns({f"_g{i}": among(found_words, words) for i, words in enumerate(rules.groups.values())})
     none = F.array().cast("array<string>")
     interested = F.size("_hits") > 0
     everyone = F.array_sort(F.array_distinct(F.when(F.size("symbols") > 0, F.col("symbols")).otherwise(F.col("_hits"))))
@@ -141,7 +163,7 @@ def article_alerts(articles: DataFrame, rules: Rules = Rules(), interest: list[s
         if group not in KEYWORDS:  # one custom alert for an article: that of the first group
             test, custom_before = test & ~custom_before, custom_before | test
         found.append(alert(test, category(group), severity, everyone, F.array_sort(words), F.col("_dir")))
-    found.append(alert(F.size(matched(F.col("_text"), BREAKING)) > 0, "breaking_keyword", F.when(interested, "high").otherwise("medium"), everyone, none, F.col("_dir")))
+    found.append(alert(F.size(among(found_words, BREAKING)) > 0, "breaking_keyword", F.when(interested, "high").otherwise("medium"), everyone, none, F.col("_dir")))
     if latency_ms is not None:
         late = F.coalesce(F.expr("(received_us - latest_us) div 1000"), F.col("latency_ms"))
         found.append(alert(late >= latency_ms, "high_latency", F.lit("medium"), F.array_sort("symbols"), none, F.lit("neutral")))
