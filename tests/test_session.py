@@ -40,3 +40,22 @@ def test_msgpack_is_gated(spark):
     except ImportError:
         with pytest.raises(RuntimeError, match="msgpack"):
             from_msgpack(spark.createDataFrame([(b"x",)], "value binary"))
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(session.__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as e
+from tidemark.session import build_session
+spark = build_session("elsewhere", cores=2, partitions=2)
+print("ROWS", e.queries()["p5_found"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]

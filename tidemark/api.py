@@ -20,6 +20,7 @@ from tidemark.operators import alerts as alert_ops
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import context, cursors, search, tape
 from tidemark.operators.ordered import order_statistics, percentile_ranks
+from tidemark.session import ship_code
 from tidemark.sources.tables import table
 
 # The bounds of requests.
@@ -77,6 +78,7 @@ class Engine:
     """Queries over the tables in ``folder`` as of ``as_of_us``; optional tables missing there are empty."""
 
     def __init__(self, spark: SparkSession, folder: str, as_of_us: int, extra: dict[str, DataFrame] | None = None, interest: Iterable[str] = (), watchlist: Iterable[str] = ()) -> None:
+        ship_code(spark)
         self.spark, self.folder, self.as_of_us = spark, folder, as_of_us
         self.extra = extra or {}
         self.interest: list[str] = sorted(set(symbols_of(interest, MAX_INTEREST) or []))

@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ _LOCAL_DIR: str | None = None
 
 def build_session(app: str = "tidemark", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the submitter configures its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -26,6 +29,23 @@ def build_session(app: str = "tidemark", cores: int | str = "*", partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_code(spark)
+    return spark
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per Spark context, so that they need no path of their own."""
+    context = spark.sparkContext
+    home = Path(__file__).parent
+    if getattr(context, "_tidemark_shipped", False) or not home.is_dir():
+        return
+    archive = Path(SparkFiles.getRootDirectory()) / "code" / f"{home.name}.zip"
+    archive.parent.mkdir(exist_ok=True)
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
