@@ -43,6 +43,15 @@ def test_stream_equals_its_sql(spark, small, name):
     test_query_equals_its_sql(spark, small, name)
 
 
+@pytest.mark.parametrize("name", ["event_phases", "halted_symbols", "symbol_context", "session_indicators", "bar_triggers", "article_instants", "p1_found", "p4_found"])
+def test_results_do_not_depend_on_the_time_zone(spark, small, name):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        test_query_equals_its_sql(spark, small, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_entry_module(spark, small):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries()) and entry.entry(spark).count() > 0

@@ -23,7 +23,7 @@ def with_positions(df: DataFrame, group: list[str], slot: str, order: list[str],
     keys = [*group, slot]
     for k in keys:  # the join would ask for this on one side only, and the exchanges would differ
         df = df.filter(F.col(k).isNotNull())
-    sizes = df.groupBy(*keys).agg(F.sum(F.col(order[-1]) * 0 + 1).alias("_n"))
+    sizes = df.groupBy(*keys).agg(F.sum(F.coalesce(F.col(order[-1]) * 0 + 1, F.lit(1))).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.sessions import exchange_day, market_phase
-from tidemark.functions.times import floor_to
+from tidemark.functions.times import floor_to, instant_us
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import context, tape, triggers
 from tidemark.sources.tables import table
@@ -46,7 +46,7 @@ def _statuses(spark: SparkSession, d: str) -> DataFrame:
     """Trading statuses: an error of a user is a halt, a signup a resumption."""
     events = table(spark, d, "events").filter(F.col("event_type").isin("error", "signup"))
     code = F.when(F.col("event_type") == "error", "H").otherwise("T")
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    ts = instant_us(F.col("ts").cast("string"))
     return events.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), ts.alias("ts_us"), code.alias("status_code"), "event_id")
 
 
@@ -135,8 +135,9 @@ def phase_volumes(spark: SparkSession, d: str) -> DataFrame:
 
 def event_phases(spark: SparkSession, d: str) -> DataFrame:
     """The phase of every event's instant."""
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").select("event_id", market_phase(seconds).alias("phase"))
+    seconds = F.expr("_us div 1000000")
+    timed = table(spark, d, "events").withColumn("_us", instant_us(F.col("ts").cast("string")))
+    return timed.select("event_id", market_phase(seconds).alias("phase"))
 
 
 RULE = triggers.TriggerRule(move_pct=0.5, window_s=300, spike_ratio=3.0)
