@@ -14,6 +14,7 @@ from tidemark.operators.cursors import page
 from tidemark.operators.ordered import order_statistics, percentile_ranks, with_positions
 from tidemark.plans.market import newest_value
 from tidemark.plans.problems import sql_instant_us
+from tidemark.session import spread
 from tidemark.sources.tables import table
 
 HOUR_US = 3_600_000_000
@@ -85,7 +86,7 @@ def symbol_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _alert_input(spark: SparkSession, d: str) -> DataFrame:
-    return _articles(spark, d).select(
+    return spread(_articles(spark, d)).select(
         "id", "headline", "summary", "content_text", symbol_list("symbols_json").alias("symbols"), "latency_ms", "seen_us",
         instant_us("last_seen_at").alias("received_us"), F.greatest("created_us", "updated_us").alias("latest_us"),
         content_hash(F.col("headline"), F.col("summary"), F.col("content_html")).alias("content_hash"),
@@ -192,7 +193,7 @@ def search_like(spark: SparkSession, d: str) -> DataFrame:
 
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
     """All articles with both terms in any inflection, ranked."""
-    found = search.search(table(spark, d, "news_articles").select("id", *search.FIELDS), "copper revenues")
+    found = search.search(spread(table(spark, d, "news_articles").select("id", *search.FIELDS)), "copper revenues")
     return found.select("id", F.round("score", 6).alias("score"))
 
 

@@ -48,6 +48,16 @@ def ship_code(spark: SparkSession) -> None:
     context._tidemark_shipped = True
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out anew if it has fewer partitions than there are cores; for costly work on few small files.
+
+    Large tables have more partitions and stay as they are. Only for a DataFrame without
+    a shuffle, whose number of partitions is known without running it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
