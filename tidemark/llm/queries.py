@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import source_name, symbol_list
 from tidemark.llm import boilerplate, bpe, cooccur, nearest, packing, spans
 from tidemark.operators.deliveries import TRADE_IDENTITY, first_deliveries
+from tidemark.session import spread
 from tidemark.sources.tables import table
 
 TOLERANCE_US = 2_000_000
@@ -57,14 +58,17 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_lines(table(spark, d, "news_articles"), "id", "content_text", gone, "clean_text")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
-    return bpe.with_ids(table(spark, d, "documents").select("doc_id", "text"))
+    return bpe.with_ids(_documents(spark, d))
 
 
 def _packs(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "text")
-    items = bpe.with_token_count(documents, count="tokens").withColumn("loss", F.col("tokens"))
+    items = bpe.with_token_count(_documents(spark, d), count="tokens").withColumn("loss", F.col("tokens"))
     return packing.pack_all(items.filter("tokens > 0"), "doc_id", table(spark, d, "pack_capacity"))
 
 
@@ -85,12 +89,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Every stretch of 200 or more characters of a document that also stands in another one."""
-    return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+    return spans.shared_spans(_documents(spark, d), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 def p9_share(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document is shared."""
-    documents = table(spark, d, "documents").select("doc_id", "text")
+    documents = _documents(spark, d)
     return spans.shared_share(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 
