@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 FIELDS = ["headline", "summary", "content_text"]
 K1, B = 1.2, 0.75
 
@@ -135,27 +137,29 @@ def term_counts(articles: DataFrame, query: str) -> DataFrame:
 
 
 def search(articles: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """Articles with every phrase, best first, with ``score``; an empty query finds nothing.
+    """Articles with every phrase, with their ``score``; an empty query finds nothing.
 
-    Equal scores go by ``id``. Phrases in more than half of the articles weigh next to nothing.
+    ``id`` must be unique; with a ``limit``, equal scores go by it, and the caller orders the rows. Phrases in more than half of the articles weigh next to nothing.
     """
     wanted = phrases(query)
     counted = term_counts(articles, query)
     if not wanted:
         return counted.filter(F.lit(False)).drop("n_tokens", "hits").withColumn("score", F.lit(0.0))
+    # the texts are read into terms once; the counts are few bytes an article
+    counted = materialize(counted.select("id", "n_tokens", "hits"), "term-counts")
     have = [F.count_if(F.col("hits")[i] > 0).alias(f"n{i}") for i in range(len(wanted))]
     facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean"), *have).first()
-    score = F.lit(0.0)
+    score, every = F.lit(0.0), F.lit(True)
     for i in range(len(wanted)):
         tf = F.col("hits")[i].cast("double")
         odds = (facts["n"] - facts[f"n{i}"] + 0.5) / (facts[f"n{i}"] + 0.5)
         weight = F.greatest(F.ln(F.lit(odds)), F.lit(1e-6))
         score = score + weight * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("n_tokens") / F.lit(facts["mean"] or 1.0)))
-    every = F.lit(True)
-    for i in range(len(wanted)):
         every = every & (F.col("hits")[i] > 0)
-    found = counted.filter(every).withColumn("score", score).drop("n_tokens", "hits")
-    return found if limit is None else found.orderBy(F.desc("score"), "id").limit(limit)
+    found = counted.filter(every).select("id", score.alias("score"))
+    if limit is not None:
+        found = found.orderBy(F.desc("score"), "id").limit(limit)
+    return articles.join(found, "id")
 
 
 def containing(articles: DataFrame, query: str) -> DataFrame:
@@ -173,4 +177,6 @@ def any_field_contains(query: str) -> Column:
 def search_or_substring(articles: DataFrame, query: str, limit: int) -> DataFrame:
     """Ranked matches, or if there are none, substring matches (score 0)."""
     ranked = search(articles, query, limit)
-    return containing(articles, query).withColumn("score", F.lit(0.0)).limit(limit) if ranked.isEmpty() else ranked
+    if ranked.isEmpty():
+        return containing(articles, query).withColumn("score", F.lit(0.0)).limit(limit)
+    return ranked.orderBy(F.desc("score"), "id")
