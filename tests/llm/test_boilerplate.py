@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import boilerplate as bp
@@ -81,5 +83,44 @@ def test_clusters_need_the_similarity(spark):
     assert links == {1: 0}
 
 
+def _brute_clusters(texts, similarity=0.8):
+    sets = {n: bp._shingles(t) for n, t in texts.items()}
+    near = {n: {m for m in sets if m != n and len(sets[m] & sets[n]) >= similarity * len(sets[m] | sets[n])} for n in sets}
+    of = {}
+    for n in sorted(near):
+        todo = [n] if n not in of else []
+        while todo:
+            m = todo.pop()
+            of[m] = n
+            todo += [x for x in near[m] if x not in of]
+    return {m: n for m, n in of.items() if m != n}
+
+
+@pytest.mark.parametrize("block", [bp.BLOCK, 3])
+def test_clusters_equal_brute_force_with_chains_of_variants(spark, monkeypatch, block):
+    monkeypatch.setattr(bp, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    texts, n = {}, 0
+    for family in range(25):
+        words = [f"f{family}w{i}" for i in range(int(rng.integers(6, 50)))]
+        for step in range(10):
+            if step:
+                words[int(rng.integers(0, len(words)))] = f"x{n}"
+            texts[n * 7919 % 100_003] = " ".join(words)
+            n += 1
+    forms = spark.createDataFrame([("s", m, t) for m, t in texts.items()] + [("t", m, t) for m, t in list(texts.items())[:40]], "source string, mask long, form string")
+    want = {("s", m): c for m, c in _brute_clusters(texts).items()} | {("t", m): c for m, c in _brute_clusters(dict(list(texts.items())[:40])).items()}
+    assert len(want) > 60
+    assert {(r.source, r.mask): r.cluster for r in bp.clusters(forms).collect()} == want
+
+
+@pytest.mark.parametrize("sent", [bp.MAX_SENT_LINKS, -1])
+def test_components_follow_every_link(spark, monkeypatch, sent):
+    monkeypatch.setattr(bp, "MAX_SENT_LINKS", sent)
+    links = spark.createDataFrame([("s", 9, 3), ("s", 9, 5), ("s", 8, 5), ("s", 8, 1), ("t", 9, 2)], "source string, mask long, rep long")
+    assert {(r.source, r.mask, r.cluster) for r in bp.components(links).collect()} == {*(("s", m, 1) for m in (3, 5, 8, 9)), ("t", 9, 2)}
+    assert bp.components(links.limit(0)).collect() == []
+
+
 def test_empty(spark):
     assert _found(spark, []) == set()

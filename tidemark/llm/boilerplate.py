@@ -7,10 +7,13 @@
 3. Masked lines of a source are clustered by locality-sensitive hashing: MinHash
    over shingles of five words, bands, and within each band bucket a comparison with
    the bucket's representative (its smallest hash) that must reach the similarity.
-   Links point to smaller hashes only and are followed to their end.
-4. A cluster whose lines stand in enough articles of the source is boilerplate.
+4. What that misses is found by an exact prefix filter: with shingles in one order,
+   rarest first, two lines of the similarity share one of their first few. Lines that
+   share one and are not yet in one cluster are compared, in blocks of bounded size.
+5. Clusters are the connected components of all links.
+6. A cluster whose lines stand in enough articles of the source is boilerplate.
 
-Work per bucket is linear: lines meet their bucket's representative, never each other.
+The first links cost linear work and leave few comparisons to the exact step.
 
 Defined cases: null sources and null or empty texts take no part; lines are compared
 after white space runs became one space, and blank lines are no lines; a line counts
@@ -20,6 +23,7 @@ counts; shorter lines than five words are one shingle. Empty input gives an empt
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +38,12 @@ from tidemark.session import broadcast_if_small, materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 4, 3
+#: Counters by which shingles are ordered; sharing one changes the order, never the result.
+COUNTERS = 1 << 20
+#: Links up to this number are followed on the driver, more of them by rounds of joins; both give the same clusters.
+MAX_SENT_LINKS = 200_000
+#: Lines of a bucket that one block of the exact comparison holds, on average.
+BLOCK = 1000
 
 #: The names of months, by which dates are masked.
 MONTHS = (
@@ -137,24 +147,176 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("source", "mask", "rep", "form", "other").mapInArrow(kernel, "source string, mask long, rep long")
 
 
-def clusters(forms: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _prefixes(forms: DataFrame, similarity: float) -> DataFrame:
+    """The shingles of each masked form of which two alike forms share at least one, as rows (source, mask, shingle)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, "int64")
+        for batch in batches:
+            for text in batch.column("form").to_pylist():
+                seen[[_counter(h) for h in _shingles(text)]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
+
+    told = forms.select("form").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNTERS, "int64")
+    often[told["at"].to_numpy("int64")] = told["n"].to_numpy("int64")
+    sent = forms.sparkSession.sparkContext.broadcast(often)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_of = sent.value
+        for batch in batches:
+            first = []
+            for text in batch.column("form").to_pylist():
+                ordered = sorted((n_of[_counter(h)], h) for h in _shingles(text))
+                many = len(ordered) - math.ceil(similarity * len(ordered) - 1e-9) + 1
+                first.append(np.array([h for _, h in ordered[:many]], "uint64").view("int64"))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]), np.concatenate([np.empty(0, "int64"), *first]))
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("mask"), lists], names=["source", "mask", "first"])
+
+    made = forms.select("source", "mask", "form").mapInArrow(kernel, "source string, mask long, first array<long>")
+    return made.select("source", "mask", F.explode("first").alias("shingle"))
+
+
+def _counter(shingle: int) -> int:
+    return (shingle ^ shingle >> 32) % COUNTERS
+
+
+def _rest_links(forms: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Links (source, mask, rep) that join the clusters of ``known`` wherever two forms of different ones are alike."""
+    own = forms.select("source", "mask", "form").join(known, ["source", "mask"], "left").withColumn("cluster", F.coalesce("cluster", "mask"))
+    first = materialize(_prefixes(forms, similarity).join(own.drop("form"), ["source", "mask"]), "line-prefixes")
+    buckets = first.groupBy("source", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("_a"), F.max("cluster").alias("_b"))
+    buckets = buckets.filter("_a <> _b").select("source", "shingle", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("_blocks"))
+    rows = first.join(buckets, ["source", "shingle"]).withColumn("_own", F.pmod(F.xxhash64("mask"), "_blocks"))
+    # each pair of blocks meets once; a row goes to the pairs of its own block
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    rows = rows.withColumn("low", F.least("_own", "_other")).withColumn("high", F.greatest("_own", "_other"))
+    keys = ["source", "shingle", "low", "high"]
+    rows = rows.join(own.drop("cluster"), ["source", "mask"]).select(*keys, (F.col("_own") == F.col("high")).alias("late"), "mask", "cluster", "form")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, []
+        for batch in batches:
+            out = []
+            for *key, late, mask, cluster, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at:
+                    out += _block_links(at, block, similarity)
+                    at, block = key, []
+                block.append((late, mask, cluster, _shingles(form)))
+            yield _link_batch(out)
+        yield _link_batch(_block_links(at, block, similarity))
+
+    return rows.mapInArrow(kernel, "source string, mask long, rep long").distinct()
+
+
+def _link_batch(links: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    source, mask, rep = zip(*links, strict=True) if links else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(mask, pa.int64()), pa.array(rep, pa.int64())], names=["source", "mask", "rep"])
+
+
+def _block_links(key: list | None, block: list[tuple[bool, int, int, set[int]]], similarity: float) -> list[tuple[str, int, int]]:
+    """Links that join all clusters of a block of which two forms are alike; forms of one cluster are not compared."""
+    if key is None or len({cluster for _, _, cluster, _ in block}) < 2:
+        return []
+    source, _, low, high = key
+    one = low == high
+    root: dict[int, int] = {cluster: cluster for _, _, cluster, _ in block}
+    # forms of each cluster that later rows meet: all of them within one block, else those of the lower block
+    met: dict[int, list[tuple[int, set[int]]]] = {}
+    out = []
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    if not one:
+        for late, mask, cluster, mine in block:
+            if not late:
+                met.setdefault(cluster, []).append((mask, mine))
+    for late, mask, cluster, mine in block:
+        if not one and not late:
+            continue
+        here = top(cluster)
+        for other in list(met):
+            if other == here:
+                continue
+            for rep, theirs in met[other]:
+                few, many = sorted((len(mine), len(theirs)))
+                both = len(mine & theirs) if few >= similarity * many - 1e-9 else 0
+                if both and both >= similarity * (few + many - both):
+                    out.append((source, max(mask, rep), min(mask, rep)))
+                    root[other] = here
+                    met.setdefault(here, []).extend(met.pop(other))
+                    break
+        if one:
+            met.setdefault(here, []).append((mask, mine))
+    return out
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``source``, ``mask``, ``cluster`` of every mask but the smallest of each connected component of the links (source, mask, rep < mask).
+
+    Large and small stars in turn: a node's greater neighbours go to its smallest one, then
+    the node and its smaller neighbours do, until every link leads to the smallest of all.
+    """
+    edges = materialize(links.select("source", "mask", "rep").distinct(), "line-links")
+    if edges.count() <= MAX_SENT_LINKS:
+        return _followed(edges)
+    print_of = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("source", "mask", "rep"))).first()
+    before = print_of(edges)
+    while True:
+        back = edges.select("source", F.col("rep").alias("mask"), F.col("mask").alias("rep"))
+        near = edges.unionAll(back)
+        least = near.groupBy("source", "mask").agg(F.min("rep").alias("_m")).withColumn("_m", F.least("_m", "mask"))
+        large = near.join(least, ["source", "mask"]).filter("rep > mask").select("source", F.col("rep").alias("mask"), F.col("_m").alias("rep"))
+        large = materialize(large.distinct(), "line-stars")
+        least = large.groupBy("source", "mask").agg(F.min("rep").alias("_m"))
+        moved = large.join(least, ["source", "mask"]).filter("rep <> _m").select("source", F.col("rep").alias("mask"), F.col("_m").alias("rep"))
+        edges = materialize(least.select("source", "mask", F.col("_m").alias("rep")).unionAll(moved).distinct(), "line-links")
+        after = print_of(edges)
+        if after == before:
+            return edges.select("source", "mask", F.col("rep").alias("cluster"))
+        before = after
+
+
+def _followed(edges: DataFrame) -> DataFrame:
+    root: dict[tuple[str, int], int] = {}
+
+    def top(source: str, m: int) -> int:
+        while (up := root.setdefault((source, m), m)) != m:
+            root[source, m] = root[source, up]
+            m = up
+        return m
+
+    for source, mask, rep in edges.select("source", "mask", "rep").collect():
+        a, b = sorted((top(source, mask), top(source, rep)))
+        root[source, b] = a
+    rows = [(source, m, top(source, m)) for source, m in list(root)]
+    source, mask, cluster = zip(*(r for r in rows if r[1] != r[2]), strict=True) if rows else ((), (), ())
+    made = pa.table({"source": pa.array(source, pa.string()), "mask": pa.array(mask, pa.int64()), "cluster": pa.array(cluster, pa.int64())})
+    return edges.sparkSession.createDataFrame(made)
+
+
+def clusters(forms: DataFrame, similarity: float = SIMILARITY, whole: bool = True) -> DataFrame:
     """``source``, ``mask``, ``cluster`` of the masked forms that belong to another one's cluster; all others are their own.
 
-    ``forms`` has one row per source and mask.
+    ``forms`` has one row per source and mask. Two forms of a source are in one cluster exactly if a
+    chain of forms leads from one to the other with each step of at least the similarity. Without
+    ``whole`` only the links found by hashing count, which is enough where clusters don't change the result.
     """
     bands = materialize(_signatures(forms), "line-bands")
     buckets = bands.groupBy("source", "band").agg(F.min("mask").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pairs = bands.join(buckets, ["source", "band"]).filter(F.col("mask") != F.col("rep")).select("source", "mask", "rep").distinct()
     texts = forms.select("source", "mask", "form")
     with_texts = pairs.join(texts, ["source", "mask"]).join(texts.select("source", F.col("mask").alias("rep"), F.col("form").alias("other")), ["source", "rep"])
-    links = _alike(with_texts, similarity).groupBy("source", "mask").agg(F.min("rep").alias("cluster"))
-    links = materialize(links, "line-links")
-    while True:  # each round halves the way to a chain's end
-        onward = links.select("source", F.col("mask").alias("cluster"), F.col("cluster").alias("_next"))
-        moved = links.join(onward, ["source", "cluster"], "left")
-        if moved.filter("_next IS NOT NULL").isEmpty():
-            return links
-        links = materialize(moved.select("source", "mask", F.coalesce("_next", "cluster").alias("cluster")), "line-links")
+    found = components(_alike(with_texts, similarity))
+    if not whole:
+        return found
+    links = found.select("source", "mask", F.col("cluster").alias("rep"))
+    return components(links.unionAll(_rest_links(forms, found, similarity)))
 
 
 def _threshold(counts: DataFrame, totals: DataFrame, n: str, rule: Excess) -> DataFrame:
@@ -168,13 +330,14 @@ def repeated_lines(lines: DataFrame, rule: Excess, exact: bool, similarity: floa
     Clusters whose lines together have enough articles are found first. With
     ``exact``, a line of such a cluster must then itself be repeated enough. Else the
     distinct articles of the cluster decide. The articles of a cluster are never fewer than
-    those of one of its lines, so ``exact`` loses none.
+    those of one of its lines, so ``exact`` loses none, however the lines are clustered, and
+    takes the clusters that hashing alone finds.
     """
     counted = materialize(line_counts(lines), "line-counts")
     totals = lines.groupBy("source").agg(F.count(F.lit(1)).alias("articles"))
     forms = counted.groupBy("source", "mask").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
     forms = materialize(forms, "line-forms")
-    links = clusters(forms, similarity)
+    links = clusters(forms, similarity, whole=not exact)
     placed = forms.select("source", "mask", "n").join(links, ["source", "mask"], "left")
     placed = placed.withColumn("cluster", F.coalesce("cluster", "mask"))
     heavy = _threshold(placed.groupBy("source", "cluster").agg(F.sum("n").alias("total")), totals, "total", rule)
