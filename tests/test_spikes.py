@@ -102,3 +102,20 @@ def test_kalman_finds_planted_spikes_and_stuck_values(spark):
     assert got[300] == got[900] == "spike" and got[1500] == "impossible"
     assert all(got.get(i) == "stuck" for i in range(1211, 1230))
     assert len([i for i, why in got.items() if why == "spike" and i not in planted]) < 20
+
+
+def test_innovations_cover_minute_volumes(spark, tmp_path):
+    from tidemark.plans.problems import p5_innovations
+
+    rng = np.random.default_rng(6)
+    volume = [int(v) for v in rng.integers(900, 1100, 300)]
+    volume[100], volume[150], volume[50] = 90_000, -4, 0
+    volume[200:215] = [volume[200]] * 15
+    bars = [("a", "1min", 60 * i, i, v) for i, v in enumerate(volume)] + [("a", "1day", 0, 999, -1), ("a", "1min", 0, 998, None)]
+    spark.createDataFrame(bars, "symbol string, timeframe string, ts long, seq long, volume long").write.parquet(f"{tmp_path}/stock_bars.parquet")
+    trades = "symbol string, ts_us long, price double, size long, exchange string, conditions string, tape string, trade_id long, ingest_seq long"
+    spark.createDataFrame([("a", i, -1.0 if i == 30 else 100.0 + i % 7, 1, "x", "", "t", i, i) for i in range(60)], trades).write.parquet(f"{tmp_path}/stock_trades.parquet")
+    got = {(r.table_name, r.row_seq): r.reason for r in p5_innovations(spark, str(tmp_path)).collect()}
+    assert got["stock_bars", 100] == "spike" and got["stock_bars", 150] == "impossible" and got["stock_trades", 30] == "impossible"
+    assert all(got.get(("stock_bars", i)) == "stuck" for i in range(209, 215))
+    assert not {("stock_bars", i) for i in (50, 998, 999)} & {k for k, why in got.items() if why == "impossible"}

@@ -136,14 +136,15 @@ def level_flags(rows: DataFrame, group: list[str], slot: Column, order: list[str
     return judged.filter(F.col("certain") | (F.col("level") > factor * F.col("usual"))).select(*group, seq)
 
 
-def kalman_flags(rows: DataFrame, group: list[str], slot: Column, order: list[str], seq: str, value: str, threshold: float = 8.0, process: float = 1.0, stuck_after: int = 12, restart: int = 6, warm_up: int = 256, chunk: int = CHUNK) -> DataFrame:
+def kalman_flags(rows: DataFrame, group: list[str], slot: Column, order: list[str], seq: str, value: str, threshold: float = 8.0, process: float = 1.0, stuck_after: int = 12, restart: int = 6, warm_up: int = 256, chunk: int = CHUNK, zero: bool = False) -> DataFrame:
     """Rows (``group``, ``seq``, ``reason``, ``score``) that a local-level Kalman filter finds implausible.
 
     The state is a level with variance ``p``; the innovation variance is learnt
     with forgetting from accepted values. A value is a ``spike`` if its
     standardised innovation exceeds ``threshold``; it is then withheld, that is the
     level is only predicted forward. After ``restart`` withheld values in a row the
-    level itself has moved, and the filter starts anew from them. It is ``impossible`` if not above 0, and
+    level itself has moved, and the filter starts anew from them. It is ``impossible`` if not above 0
+    (with ``zero``, if below 0; runs of 0 are then not stuck), and
     ``stuck`` once the innovations have been exactly 0 for ``stuck_after`` values.
     A chunk starts ``warm_up`` rows early, by which time the filter has forgotten its start.
     """
@@ -156,7 +157,7 @@ def kalman_flags(rows: DataFrame, group: list[str], slot: Column, order: list[st
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, block in _blocks(batches, keys):
             own = table.column("own").to_numpy(zero_copy_only=False)
-            reason, score = _filter(table.column(value).to_numpy(), block, threshold, process, stuck_after, restart)
+            reason, score = _filter(table.column(value).to_numpy(), block, threshold, process, stuck_after, restart, zero)
             out = [*(table.column(g) for g in group), table.column(seq), pa.array(reason, pa.string()), pa.array(score)]
             flagged = own & np.array([r is not None for r in reason], bool)
             yield from pa.table(out, names=[*group, seq, "reason", "score"]).filter(pa.array(flagged)).to_batches()
@@ -164,7 +165,7 @@ def kalman_flags(rows: DataFrame, group: list[str], slot: Column, order: list[st
     return _chunked(clean, group, slot, order, warm_up, chunk).select(*keys, "own", value, seq).mapInArrow(kernel, schema)
 
 
-def _filter(x: np.ndarray, block: np.ndarray, threshold: float, process: float, stuck_after: int, restart: int) -> tuple[list[str | None], np.ndarray]:
+def _filter(x: np.ndarray, block: np.ndarray, threshold: float, process: float, stuck_after: int, restart: int, zero: bool = False) -> tuple[list[str | None], np.ndarray]:
     reason: list[str | None] = [None] * len(x)
     score = np.zeros(len(x))
     at, level, p, r, still, held = -1, 0.0, 0.0, 0.0, 0, 0
@@ -181,10 +182,10 @@ def _filter(x: np.ndarray, block: np.ndarray, threshold: float, process: float,
         z = abs(innovation) / s**0.5
         still = still + 1 if i and block[i - 1] == b and v == x[i - 1] else 1
         score[i] = z
-        if v <= 0:
+        if v < 0 or (v == 0 and not zero):
             reason[i] = "impossible"
             continue
-        if still >= stuck_after:
+        if still >= stuck_after and v != 0:
             reason[i] = "stuck"
         if z > threshold:
             reason[i] = reason[i] or "spike"

@@ -112,10 +112,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_innovations(spark: SparkSession, d: str) -> DataFrame:
-    """Trades a Kalman filter per symbol and day finds implausible, with the standardised innovation."""
-    return spikes.kalman_flags(
+    """Trades and minute bars a Kalman filter per symbol and day finds implausible, with the standardised innovation."""
+    prices = spikes.kalman_flags(
         _trade_prices(spark, d), ["symbol", "day"], F.expr("ts_us div 600000000"), ["ts_us", "ingest_seq"], "ingest_seq", "price",
     )
+    volumes = spikes.kalman_flags(
+        _minute_volumes(spark, d).withColumn("volume", F.col("volume").cast("double")), ["symbol", "day"], F.expr("ts div 3600"), ["ts", "seq"], "seq", "volume",
+        stuck_after=10, zero=True,
+    )
+    trades = prices.select(F.lit("stock_trades").alias("table_name"), "symbol", "day", F.col("ingest_seq").alias("row_seq"), "reason", "score")
+    bars = volumes.select(F.lit("stock_bars").alias("table_name"), "symbol", (F.col("day") * 1_000_000).alias("day"), F.col("seq").alias("row_seq"), "reason", "score")
+    return trades.unionAll(bars)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_days, p1_news_hours, p4_found, p4_history, p5_found, p5_innovations)}
