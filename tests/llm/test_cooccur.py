@@ -47,6 +47,14 @@ def test_above_chance_is_exact(spark):
     assert cooccur.above_chance(df, 4).count() == 2
 
 
+@pytest.mark.parametrize("max_sent", [cooccur.MAX_SENT_ITEMS, 1])
+def test_repeated_and_null_ids_are_rows_of_their_own(spark, max_sent):
+    rows = [(1, ["a", "b"]), (1, ["a", "b"]), (None, ["a", "c"]), (None, ["b", "c"])]
+    df = spark.createDataFrame(rows, "id long, items array<string>")
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n_all) for r in cooccur.pair_counts(df, "id", "items", max_sent=max_sent).collect()}
+    assert got == {("a", "b"): (2, 3, 3, 4), ("a", "c"): (1, 3, 2, 4), ("b", "c"): (1, 3, 2, 4)}
+
+
 def test_empty(spark):
     assert cooccur.pair_counts(_frame(spark, []), "id", "items").collect() == []
     assert cooccur.pair_counts(_frame(spark, [None, []]), "id", "items").collect() == []

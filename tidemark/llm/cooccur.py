@@ -33,7 +33,7 @@ def pair_counts(records: DataFrame, record: str, items: str, min_count: int = 1,
     """``item_a`` < ``item_b``, ``n_ab``, ``n_a``, ``n_b``, ``n_all``, ``ratio`` and ``odds_ratio`` of pairs with at least ``min_count`` records.
 
     ``items`` is an array of strings, distinct and sorted by code point and without
-    nulls; ``record`` must be unique where the item table exceeds its bound.
+    nulls. Each row is a record of its own, whether its ``record`` is null or repeated.
     """
     named = records.filter(F.size(items) > 0).select(F.col(record).alias("record"), F.col(items).alias("items"))
     # the empty string is no item; as one more element it counts the records
@@ -47,7 +47,9 @@ def pair_counts(records: DataFrame, record: str, items: str, min_count: int = 1,
         lists = _by_lookup(named, words)
     else:
         numbered = materialize(_numbers(counts.filter("item <> ''").select("item")), "item-numbers")
-        told = named.select("record", F.explode("items").alias("item")).join(numbered, "item")
+        # numbers are written out, so that a repeated task can't give others
+        rows = materialize(named.select(F.monotonically_increasing_id().alias("record"), "items"), "item-lists")
+        told = rows.select("record", F.explode("items").alias("item")).join(numbered, "item")
         lists = told.groupBy("record").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
     merged = _merge(_runs(lists).repartition("code").sortWithinPartitions("code")).filter(F.col("n_ab") >= min_count)
     vocabulary = numbered.join(counts, "item")
