@@ -6,7 +6,7 @@ Two detectors share the chunked order of ``ordered.py``:
   neighbours, scaled by the median deviation of the whole group;
 * :func:`kalman_flags` forecasts each value with a local-level Kalman filter,
   flags standardised innovations above a threshold, withholds flagged values
-  from the state and reports vanishing innovation variance as a stuck sensor.
+  from the state and reports a run of identical values as a stuck sensor.
 
 Rows without group, time or value (null or NaN) are left out. Equal rows are kept
 and ordered by their sequence number. Empty input gives an empty result.
@@ -145,7 +145,7 @@ def kalman_flags(rows: DataFrame, group: list[str], slot: Column, order: list[st
     level is only predicted forward. After ``restart`` withheld values in a row the
     level itself has moved, and the filter starts anew from them. It is ``impossible`` if not above 0
     (with ``zero``, if below 0; runs of 0 are then not stuck), and
-    ``stuck`` once the innovations have been exactly 0 for ``stuck_after`` values.
+    ``stuck`` once ``stuck_after`` values in a row have been identical.
     A chunk starts ``warm_up`` rows early, by which time the filter has forgotten its start.
     """
     keys = [*group, "chunk"]
