@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Shape of a text time: date, then optionally a time of day and an offset.
 TEXT_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|z|[+-]\d{2}(:?\d{2})?)?)?$"
+#: The usual shape, which the cast takes as it is.
+PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 HAS_OFFSET = r"[T ].*(Z|z|[+-]\d{2}(:?\d{2})?)$"
 
 DAY_S = 86_400
@@ -23,7 +25,7 @@ def instant(text: Column | str) -> Column:
     dated = F.when(F.length(dotted) == 10, F.concat(dotted, F.lit("T00:00:00"))).otherwise(dotted)
     dated = F.regexp_replace(dated, r"^(.{10}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
     zoned = F.when(dated.rlike(HAS_OFFSET), dated).otherwise(F.concat(dated, F.lit("Z")))
-    return F.when(F.trim(col).rlike(TEXT_TIME), zoned.try_cast("timestamp"))
+    return F.when(col.rlike(PLAIN_TIME), col.try_cast("timestamp")).when(F.trim(col).rlike(TEXT_TIME), zoned.try_cast("timestamp"))
 
 
 def instant_us(text: Column | str) -> Column:

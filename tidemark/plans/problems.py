@@ -10,6 +10,7 @@ from tidemark.functions.times import DAY_S, DAY_US, instant_us
 from tidemark.operators import history, spikes
 from tidemark.operators.deliveries import TRADE_IDENTITY, first_deliveries
 from tidemark.operators.revisions import Lateness, changelog, revised_periods, roll_up, settle, version_deltas
+from tidemark.session import materialize
 from tidemark.sources.tables import table
 
 MINUTE_US = 60_000_000
@@ -63,27 +64,44 @@ def p1_news_hours(spark: SparkSession, d: str) -> DataFrame:
     return done.select("source", F.expr("period_us div 1000000").alias("period_start"), F.col("n").alias("articles"))
 
 
-def _headlines(spark: SparkSession, d: str) -> DataFrame:
-    versions = table(spark, d, "news_article_versions")
-    received = instant_us("received_at")
-    seen = history.observations(
-        versions,
-        "article_id",
-        F.coalesce(instant_us("updated_at"), received),
-        [received, F.col("version_id")],
-        {"headline": F.trim(F.coalesce(F.col("headline"), F.lit("")))},
+#: Loads in which the headline dimension is merged, by arrival.
+HISTORY_LOADS = 4
+_RANK = ["received_us", "version_id"]
+
+
+def _headline_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Headline observations, written out so that each load reads parsed times."""
+    rows = table(spark, d, "news_article_versions").select(
+        "article_id", "version_id", instant_us("received_at").alias("received_us"), instant_us("updated_at").alias("updated_us"), F.trim(F.coalesce(F.col("headline"), F.lit(""))).alias("headline")
     )
-    return history.stretches(history.merge(None, seen, "article_id", ["headline"]), "article_id", ["headline"])
+    seen = history.observations(rows, "article_id", F.coalesce("updated_us", "received_us"), {c: F.col(c) for c in _RANK}, [F.col("headline")])
+    return materialize(seen, "headline-rows")
+
+
+def _headlines(spark: SparkSession, d: str) -> DataFrame:
+    dimension = history.fold(_headline_rows(spark, d), "article_id", _RANK, "received_us", HISTORY_LOADS)
+    return history.versions(dimension, "article_id").withColumn("valid_to_us", F.coalesce("valid_to_us", F.lit(-1)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every state of every article's headline with its validity, -1 while open."""
-    return _headlines(spark, d).select("article_id", "valid_from_us", F.coalesce("valid_to_us", F.lit(-1)).alias("valid_to_us"))
+    return _headlines(spark, d).select("article_id", "valid_from_us", "valid_to_us")
 
 
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
     """The same history with the headline of each state."""
-    return _headlines(spark, d).select("article_id", "valid_from_us", F.coalesce("valid_to_us", F.lit(-1)).alias("valid_to_us"), "headline")
+    heads = table(spark, d, "news_article_versions").select("article_id", "version_id", F.trim(F.coalesce(F.col("headline"), F.lit(""))).alias("headline"))
+    return _headlines(spark, d).join(heads, ["article_id", "version_id"]).select("article_id", "valid_from_us", "valid_to_us", "headline")
+
+
+def p4_last_day(spark: SparkSession, d: str) -> DataFrame:
+    """What merging the last two UTC days of arrivals into the stored dimension closes, inserts, moves and withdraws."""
+    rows = _headline_rows(spark, d)
+    newest = rows.agg(F.max("received_us")).first()[0] or 0
+    late = F.coalesce("received_us", F.lit(0)) >= newest - newest % DAY_US - DAY_US
+    before = materialize(history.merge(None, rows.filter(~late), "article_id", _RANK), "dimension")
+    after = history.merge(before, rows.filter(late), "article_id", _RANK)
+    return history.changes(before, after, "article_id").withColumn("valid_to_us", F.coalesce("valid_to_us", F.lit(-1)))
 
 
 def _trade_prices(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +143,7 @@ def p5_innovations(spark: SparkSession, d: str) -> DataFrame:
     return trades.unionAll(bars)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_days, p1_news_hours, p4_found, p4_history, p5_found, p5_innovations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_days, p1_news_hours, p4_found, p4_history, p4_last_day, p5_found, p5_innovations)}
 
 
 def sql_instant_us(text: str) -> str:
@@ -148,17 +166,22 @@ _NEWS_PERIODS = f"""
         FROM (SELECT lower(trim(source)) AS source, {sql_instant_us('created_at')} AS e, {sql_instant_us('first_seen_at')} AS a FROM news_articles)
         WHERE source IS NOT NULL AND e IS NOT NULL AND a IS NOT NULL)"""
 
-_HISTORY = f"""
+def _history_sql(where: str = "true") -> str:
+    return f"""
   WITH v AS (
     SELECT article_id, coalesce({sql_instant_us('updated_at')}, {sql_instant_us('received_at')}) AS t,
            {sql_instant_us('received_at')} AS r, version_id, trim(coalesce(headline, ''), ' ') AS headline
     FROM news_article_versions),
+  edge AS (SELECT max(r) - max(r) % 86400000000 - 86400000000 AS e FROM v),
   o AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, t ORDER BY r DESC NULLS LAST, version_id DESC) AS k FROM v WHERE t IS NOT NULL AND article_id IS NOT NULL) WHERE k = 1),
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, t ORDER BY r DESC NULLS LAST, version_id DESC) AS k FROM v WHERE t IS NOT NULL AND article_id IS NOT NULL AND {where}) WHERE k = 1),
   s AS (
     SELECT * FROM (SELECT *, lag(headline) OVER (PARTITION BY article_id ORDER BY t) AS prev FROM o) WHERE prev IS DISTINCT FROM headline)
   SELECT article_id, t AS valid_from_us, coalesce(lead(t) OVER (PARTITION BY article_id ORDER BY t), -1) AS valid_to_us, headline FROM s"""
 
+
+_HISTORY = _history_sql()
+
 ORACLES = {
     "p1_found": f"""
       SELECT DISTINCT 'stock_trades' AS feed, symbol AS entity, p // 1000000 AS period_start FROM ({_TRADE_PERIODS}) WHERE late >= 0 AND late < 900000000
@@ -169,6 +192,11 @@ ORACLES = {
     "p1_news_hours": f"SELECT source, p // 1000000 AS period_start, count(*) AS articles FROM ({_NEWS_PERIODS}) WHERE late < 21600000000 GROUP BY 1, 2",
     "p4_found": f"SELECT article_id, valid_from_us, valid_to_us FROM ({_HISTORY})",
     "p4_history": _HISTORY,
+    "p4_last_day": f"""
+      SELECT article_id, valid_from_us, coalesce(n.valid_to_us, o.valid_to_us) AS valid_to_us,
+             CASE WHEN o.headline IS NULL THEN 'inserted' WHEN n.headline IS NULL THEN 'withdrawn' WHEN o.valid_to_us = -1 AND n.valid_to_us <> -1 THEN 'closed' ELSE 'moved' END AS action
+      FROM ({_history_sql("coalesce(r, 0) < (SELECT e FROM edge)")}) o FULL JOIN ({_HISTORY}) n USING (article_id, valid_from_us)
+      WHERE o.headline IS DISTINCT FROM n.headline OR o.valid_to_us IS DISTINCT FROM n.valid_to_us""",
     "p5_found": f"""
       WITH t AS (SELECT symbol, ts_us // 86400000000 AS d, ts_us, ingest_seq, price FROM ({_FIRST}) WHERE price IS NOT NULL AND symbol IS NOT NULL),
       m AS (SELECT *, abs(price - median(price) OVER (PARTITION BY symbol, d ORDER BY ts_us, ingest_seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS dev,
