@@ -129,17 +129,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return trades.unionAll(volumes.select(F.lit("stock_bars").alias("table_name"), F.col("seq").alias("row_seq")))
 
 
+PRICE_MODEL = spikes.LocalLevel()
+VOLUME_MODEL = spikes.LocalLevel(threshold=4.0, process=0.2)
+
+
 def p5_innovations(spark: SparkSession, d: str) -> DataFrame:
-    """Trades and minute bars a Kalman filter per symbol and day finds implausible, with the standardised innovation."""
+    """Trades' prices and minute bars' volumes (as logarithms) a Kalman filter per symbol and day finds implausible, with the standardised innovation."""
     prices = spikes.kalman_flags(
-        _trade_prices(spark, d), ["symbol", "day"], F.expr("ts_us div 600000000"), ["ts_us", "ingest_seq"], "ingest_seq", "price",
+        _trade_prices(spark, d), ["symbol", "day"], F.expr("ts_us div 600000000"), ["ts_us", "ingest_seq"], "ingest_seq",
+        F.col("price"), F.col("price") <= 0, F.lit(False), PRICE_MODEL,
     )
     volumes = spikes.kalman_flags(
-        _minute_volumes(spark, d).withColumn("volume", F.col("volume").cast("double")), ["symbol", "day"], F.expr("ts div 3600"), ["ts", "seq"], "seq", "volume",
-        stuck_after=10, zero=True,
+        _minute_volumes(spark, d), ["symbol", "day"], F.expr("ts div 3600"), ["ts", "seq"], "seq",
+        F.log(F.greatest(F.col("volume"), F.lit(0)) + F.lit(1.0)), F.col("volume") < 0, F.col("volume") == 0, VOLUME_MODEL,
     )
-    trades = prices.select(F.lit("stock_trades").alias("table_name"), "symbol", "day", F.col("ingest_seq").alias("row_seq"), "reason", "score")
-    bars = volumes.select(F.lit("stock_bars").alias("table_name"), "symbol", (F.col("day") * 1_000_000).alias("day"), F.col("seq").alias("row_seq"), "reason", "score")
+    trades = prices.select(F.lit("stock_trades").alias("table_name"), "symbol", "day", F.col("ingest_seq").alias("row_seq"), "reason", F.round("score", 6).alias("score"))
+    bars = volumes.select(F.lit("stock_bars").alias("table_name"), "symbol", (F.col("day") * 1_000_000).alias("day"), F.col("seq").alias("row_seq"), "reason", F.round("score", 6).alias("score"))
     return trades.unionAll(bars)
 
 
@@ -182,6 +187,47 @@ def _history_sql(where: str = "true") -> str:
 
 _HISTORY = _history_sql()
 
+
+
+def _filter_sql(measured: str, model: spikes.LocalLevel) -> str:
+    """The filter as a recursive query over ``measured`` (symbol, d, slot, t, q, x, bad, rest), for groups of one chunk."""
+    t = f"{model.threshold}::DOUBLE"
+    return f"""
+  WITH RECURSIVE m AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY symbol, d ORDER BY slot, t, q) AS i, abs(x - lag(x) OVER (PARTITION BY symbol, d, slot ORDER BY t, q)) AS step FROM ({measured})),
+  u AS (
+    SELECT symbol, d, q2, q3, q1, step FROM (
+      SELECT symbol, d, list_sort(list(x)) AS l, list_sort(list(step) FILTER (step IS NOT NULL)) AS k, l[(len(l) + 3) // 4] AS q1, l[(len(l) + 1) // 2] AS q2, l[(3 * len(l) + 3) // 4] AS q3, k[(len(k) + 1) // 2] AS step
+      FROM m WHERE NOT bad GROUP BY 1, 2)),
+  n AS (SELECT symbol, d, q2, (q3 - q1) / 1.349::DOUBLE AS w, greatest(coalesce(step * 1.4826::DOUBLE, (q3 - q1) / 1.349::DOUBLE), abs(q2) * 1e-4::DOUBLE, 1e-9::DOUBLE) AS normal FROM u),
+  f AS (
+    SELECT symbol, d, 0::BIGINT AS i, NULL::BIGINT AS q, q2 AS level, greatest(w, normal) * greatest(w, normal) AS p, normal * normal AS r, normal * normal AS v, normal * normal AS nn, normal,
+           0::BIGINT AS held, 0::DOUBLE AS agreed, 0::DOUBLE AS z, false AS far, false AS gone
+    FROM n
+    UNION ALL
+    SELECT symbol, d, i, q,
+           CASE WHEN moved THEN near_agreed WHEN fine THEN level + gain * e ELSE level END,
+           CASE WHEN moved THEN r WHEN fine THEN ahead * (1 - gain) ELSE ahead END,
+           CASE WHEN fine THEN greatest(0.98::DOUBLE * r + 0.02::DOUBLE * e * e * r / s, nn / 16) ELSE r END,
+           CASE WHEN moved THEN nn WHEN fine THEN vv ELSE v END, nn, normal,
+           CASE WHEN moved THEN 0 ELSE held END, near_agreed, z, far, fine AND vv < 0.001::DOUBLE * nn
+    FROM (
+      SELECT *, far AND held >= {model.restart} AS moved, CASE WHEN near THEN agreed + (x - agreed) / held WHEN far THEN x ELSE agreed END AS near_agreed, ahead / s AS gain, 0.5::DOUBLE * v + 0.5::DOUBLE * e * e AS vv
+      FROM (
+        SELECT * EXCLUDE (held), CASE WHEN near THEN held + 1 WHEN far THEN 1 WHEN fine THEN 0 ELSE held END AS held
+        FROM (
+          SELECT *, far AND held > 0 AND abs(x - agreed) / root <= {t} AS near, NOT far AND NOT bad AS fine
+          FROM (
+            SELECT *, abs(e) / root AS z, NOT bad AND abs(e) / root > {t} AS far
+            FROM (SELECT *, sqrt(s) AS root, x - level AS e FROM (SELECT *, ahead + r AS s FROM (
+              SELECT f.symbol, f.d, m.i, m.q, m.x, m.bad, f.level, f.p + {model.process}::DOUBLE * f.r AS ahead, f.r, f.v, f.nn, f.normal, f.held, f.agreed
+              FROM f JOIN m ON f.symbol = m.symbol AND f.d = m.d AND m.i = f.i + 1)))))))),
+  g AS (SELECT f.*, m.x, m.bad, m.rest, coalesce(abs(m.x - lag(m.x) OVER (PARTITION BY f.symbol, f.d ORDER BY f.i)) > 0.03::DOUBLE * f.normal, true) AS opens FROM f JOIN m USING (symbol, d, i)),
+  h AS (SELECT *, sum(opens::INT) OVER (PARTITION BY symbol, d ORDER BY i) AS run FROM g),
+  k AS (SELECT *, bool_or(gone) OVER (PARTITION BY symbol, d, run) AS stuck FROM h)
+  SELECT symbol, d, q, CASE WHEN bad THEN 'impossible' WHEN far THEN 'spike' ELSE 'stuck' END AS reason, round(z, 6) AS score FROM k WHERE bad OR far OR (stuck AND NOT rest)"""
+
+
 ORACLES = {
     "p1_found": f"""
       SELECT DISTINCT 'stock_trades' AS feed, symbol AS entity, p // 1000000 AS period_start FROM ({_TRADE_PERIODS}) WHERE late >= 0 AND late < 900000000
@@ -210,4 +256,10 @@ ORACLES = {
       SELECT 'stock_trades' AS table_name, ingest_seq AS row_seq FROM r JOIN u USING (symbol, d) WHERE price <= 0 OR dev > 10 * usual OR run >= 12
       UNION ALL
       SELECT 'stock_bars', seq FROM br JOIN bu USING (symbol, d) WHERE volume < 0 OR volume > 15 * usual OR (run >= 10 AND volume > 0)""",
+    "p5_innovations": f"""
+      SELECT 'stock_trades' AS table_name, symbol, d * 86400000000 AS day, q AS row_seq, reason, score FROM ({_filter_sql(
+        f"SELECT symbol, ts_us // 86400000000 AS d, ts_us // 600000000 AS slot, ts_us AS t, ingest_seq AS q, price AS x, price <= 0 AS bad, false AS rest FROM ({_FIRST}) WHERE price IS NOT NULL AND symbol IS NOT NULL AND ts_us IS NOT NULL", PRICE_MODEL)})
+      UNION ALL
+      SELECT 'stock_bars', symbol, d * 86400000000, q, reason, score FROM ({_filter_sql(
+        "SELECT symbol, ts // 86400 AS d, ts // 3600 AS slot, ts AS t, seq AS q, ln(1 + greatest(volume, 0)::DOUBLE) AS x, volume < 0 AS bad, volume = 0 AS rest FROM stock_bars WHERE timeframe = '1min' AND volume IS NOT NULL AND symbol IS NOT NULL AND ts IS NOT NULL", VOLUME_MODEL)})""",
 }
