@@ -49,7 +49,14 @@ def test_packs_hold_every_token_once(spark, small):
                 sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.piece_tokens
         assert sizes == {i: n for i, n in ids.items() if n}
     for r in queries.QUERIES["p8_fill"](spark, small).collect():
-        assert r.containers <= r.fewest * 1.01 + 1
+        assert r.fewest <= r.containers <= r.fewest * (1.01 if r.limits == "tokens" else 1.3) + 1
+    sums = {}
+    for r in queries.QUERIES["p8_limits"](spark, small).collect():
+        size, loss, count = sums.get((r.pack_name, r.container_id), (0, 0, 0))
+        sums[r.pack_name, r.container_id] = (size + r.piece_tokens, loss + r.piece_loss, count + 1)
+    most = {r.pack_name: r.capacity_tokens for r in spark.read.parquet(f"{small}/pack_capacity.parquet").collect()}
+    assert all(t <= most[n] and u <= most[n] * 3 // 4 and c <= 16 for (n, _), (t, u, c) in sums.items())
+    assert sum(t for t, _, _ in sums.values()) == len(most) * sum(ids.values())
 
 
 def test_clean_texts_lack_the_found_lines(spark, small):

@@ -2,18 +2,23 @@
 
 Items are placed under simultaneous limits on tokens, segments and loss-bearing
 tokens by the dot-product heuristic of vector bin packing: the next item of an open
-container is the fitting one whose size vector has the largest scalar product with
-what is left. Only sizes matter for that, so the heuristic runs on the histogram of
-sizes, whose length the capacity bounds whatever the number of items: a container's
-pattern of sizes is repeated as often as the stock allows. Items then look up their
-container by their place among the items of their size. No item is moved between
-tasks for packing except to be counted.
+container is the fitting one whose size vector, brought to length one, has the largest
+scalar product with what is left, of equal ones the largest. So items that use the limits in
+the proportion that is left come first; with a single limit that is the largest item that fits.
+
+Items are dealt into lots of about the same number, each lot is packed by one task, and
+its well-filled containers stay. Items of the others are dealt again, which are few, until
+one lot is left; so lots cost next to no room. Within a lot only sizes matter: a
+container's pattern of sizes is repeated as often as the stock allows, and items
+take their container by their place among the items of their size. No task ever holds
+more than a lot, whatever the number of items and of distinct sizes, and lots of equal
+items are cut like all others.
 
 An item that alone exceeds the capacity (or the limit on loss-bearing tokens) is cut
 into full pieces and a rest, which is packed like an item. All others stay whole.
 
-Defined cases: items with null or no tokens are placed nowhere; loss-bearing tokens
-are the last ones of an item, null means all its tokens. Equal keys are packed as
+Defined cases: items with null key, null tokens or no tokens are placed nowhere; loss-bearing tokens
+are the last ones of an item, null means all its tokens. Equal keys and repeated rows are packed as
 separate items. Empty input gives an empty result.
 """
 
@@ -21,18 +26,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import with_positions
+from tidemark.operators.blocks import key_blocks
 from tidemark.session import materialize
 
-#: Distinct size vectors the driver packs at most; beyond that loss figures are rounded up to multiples.
-MAX_SIZES = 1 << 18
-SLOTS = 64
+#: Pieces of a lot, about: without and with a limit on loss-bearing tokens, which makes far more distinct sizes.
+LOT, LOSS_LOT = 1 << 16, 1 << 13
+#: A container stays if one of its limits is used up to this share.
+FULL = 0.995
+#: Bits of a container's number for its place in the lot and for the lot.
+PLACE_BITS, LOT_BITS = 22, 34
 
 
 @dataclass(frozen=True)
@@ -46,19 +55,27 @@ class Limits:
 
 def pieces(items: DataFrame, key: str, limits: Limits) -> DataFrame:
     """``key``, ``piece_no``, ``piece_start``, ``tokens``, ``loss``: whole items, and the pieces of those too large."""
-    most = limits.tokens if limits.loss is None else min(limits.tokens, limits.loss)
-    over = F.col("tokens") > limits.tokens
-    if limits.loss is not None:
-        over = over | (F.col("loss") > limits.loss)
-    step = F.when(over, F.lit(most)).otherwise(F.col("tokens")).cast("long")
-    sized = items.filter((F.col("tokens") > 0) & F.col(key).isNotNull()).withColumn("loss", F.least(F.coalesce("loss", "tokens"), "tokens"))
+    sized = items.withColumn("_lim", _limit_struct("", limits))
+    return _pieces(sized, [key]).select(key, "piece_no", "piece_start", "tokens", "loss")
+
+
+def _limit_struct(name: str, limits: Limits):
+    whole = lambda x: F.lit(x).cast("long")
+    return F.struct(F.lit(name).alias("pack_name"), whole(limits.tokens).alias("tokens"), whole(limits.segments).alias("segments"), whole(limits.loss).alias("loss"))
+
+
+def _pieces(items: DataFrame, kept: list[str]) -> DataFrame:
+    """Pieces of items with ``tokens``, ``loss`` and the limits ``_lim``."""
+    over = (F.col("tokens") > F.col("_lim.tokens")) | F.coalesce(F.col("loss") > F.col("_lim.loss"), F.lit(False))
+    step = F.when(over, F.least("_lim.tokens", "_lim.loss")).otherwise(F.col("tokens")).cast("long")
+    sized = items.filter((F.col("tokens") > 0) & F.col(kept[0]).isNotNull()).withColumn("loss", F.least(F.coalesce("loss", "tokens"), "tokens"))
     cut = sized.withColumn("_step", step).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(tokens - 1) div _step"))))
     start = F.col("_at") * F.col("_step")
     end = F.least(start + F.col("_step"), F.col("tokens"))
     unpaid = F.col("tokens") - F.col("loss")
     return cut.select(
-        key, F.col("_at").alias("piece_no"), start.alias("piece_start"), (end - start).alias("tokens"),
-        F.greatest(F.lit(0).cast("long"), end - F.greatest(start, unpaid)).alias("loss"),
+        *kept, "_lim", F.col("_at").alias("piece_no"), start.alias("piece_start"), (end - start).alias("tokens"),
+        F.greatest(F.lit(0).cast("long"), end - F.greatest(start, unpaid)).cast("long").alias("loss"),
     )
 
 
@@ -67,32 +84,27 @@ def patterns(tokens: np.ndarray, loss: np.ndarray, count: np.ndarray, limits: Li
     left = count.astype("int64").copy()
     taken = np.zeros(len(left), "int64")
     whole = np.array([limits.tokens, limits.segments or 0, limits.loss or 0], "float64")
-    asked = np.array([True, limits.segments is not None, limits.loss is not None])
-    sizes = np.stack([tokens, np.ones_like(tokens), loss]).astype("int64")
-    scaled = np.where(asked[:, None], sizes / np.where(asked, whole, 1)[:, None], 0.0)
-    limit = np.where(asked, whole.astype("int64"), np.iinfo("int64").max)
+    asked = np.flatnonzero([True, limits.segments is not None, limits.loss is not None])
+    sizes = np.stack([tokens, np.ones_like(tokens), loss]).astype("int64")[asked]
+    scaled = sizes / whole[asked, None]
+    norm = np.sqrt((scaled * scaled).sum(0))
+    limit = whole[asked].astype("int64")
     rows, made = [], 0
     live = np.flatnonzero(left)
     while len(live):
         room = limit.copy()
         used: dict[int, int] = {}
-        stock = left[live]
-        size, weight = sizes[:, live], scaled[:, live]
-        open_ = stock > 0
-        while True:
-            open_ &= (size <= room[:, None]).all(0)
-            if not open_.any():
-                break
-            share = np.where(asked, room / np.where(asked, whole, 1), 0.0)
-            best = int(np.argmax(np.where(open_, share @ weight, -1.0)))
-            if limits.segments is None and limits.loss is None:
-                times = int(min(stock[best], room[0] // size[0, best]))
-            else:
-                times = 1
+        stock = left[live].copy()
+        size, length, weight = sizes[:, live], norm[live], scaled[:, live] / norm[live]
+        fits = np.flatnonzero((size <= room[:, None]).all(0))
+        while len(fits):
+            # the length decides between directions that are the same up to rounding
+            best = int(fits[np.argmax((room / whole[asked]) @ weight[:, fits] + 1e-9 * length[fits])])
+            times = int(min(stock[best], room[0] // size[0, best])) if len(asked) == 1 else 1
             used[best] = used.get(best, 0) + times
-            room = np.where(asked, room - times * size[:, best], room)
+            room = room - times * size[:, best]
             stock[best] -= times
-            open_[best] = stock[best] > 0
+            fits = fits[(size[:, fits] <= room[:, None]).all(0) & (stock[fits] > 0)]
         often = min(int(left[live[i]] // n) for i, n in used.items())
         for i, n in used.items():
             s = int(live[i])
@@ -104,50 +116,91 @@ def patterns(tokens: np.ndarray, loss: np.ndarray, count: np.ndarray, limits: Li
     return np.array(rows, "int64").reshape(-1, 4), made
 
 
-def pack(items: DataFrame, key: str, limits: Limits) -> DataFrame:
-    """``container_id``, ``key``, ``piece_no``, ``piece_start``, ``piece_tokens`` of every item with ``tokens`` (and ``loss``)."""
-    parts = pieces(items, key, limits)
-    if limits.loss is None:
-        parts = parts.withColumn("loss", F.lit(0).cast("long"))
-    stock = parts.groupBy("tokens", "loss").agg(F.count(F.lit(1)).alias("n"))
-    if limits.loss is not None:
-        grain = 1
-        while stock.count() > MAX_SIZES:
-            grain *= 2
-            parts = parts.withColumn("loss", F.least(F.lit(limits.loss), F.ceil(F.col("loss") / grain) * grain).cast("long"))
-            stock = parts.groupBy("tokens", "loss").agg(F.count(F.lit(1)).alias("n"))
-    sizes = stock.toPandas().sort_values(["tokens", "loss"]).to_numpy("int64").reshape(-1, 3)
-    table, _ = patterns(sizes[:, 0], sizes[:, 1], sizes[:, 2], limits)
-    order = np.lexsort((table[:, 1], table[:, 0]))
-    sent = items.sparkSession.sparkContext.broadcast((sizes[:, 0] << 32 | sizes[:, 1], table[order]))
-    slotted = parts.withColumn("_slot", F.pmod(F.xxhash64(key, "piece_no"), F.lit(SLOTS)))
-    ranked = with_positions(slotted, ["tokens", "loss"], "_slot", [key, "piece_no"], "rank")
+def _containers(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """The container of each piece of a lot, and which containers are full. Pieces are sorted by tokens and loss."""
+    new = np.r_[True, (tokens[1:] != tokens[:-1]) | (loss[1:] != loss[:-1])]
+    first = np.flatnonzero(new)
+    table, made = patterns(tokens[first], loss[first], np.diff(np.append(first, len(tokens))), limits)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    kind = np.cumsum(new) - 1
+    rank = np.arange(len(tokens)) - first[kind]
+    row = table[np.searchsorted(table[:, 0] << 32 | table[:, 1], kind << 32 | rank, side="right") - 1]
+    container = row[:, 3] + (rank - row[:, 1]) // row[:, 2]
+    full = np.zeros(made, bool)
+    for most, used in ((limits.tokens, tokens), (limits.segments, np.ones_like(tokens)), (limits.loss, loss)):
+        if most:
+            full |= np.bincount(container, weights=used, minlength=made) >= FULL * most
+    return container, full
+
+
+def _packed(parts: DataFrame, kept: list[str], level: int, lots: int) -> DataFrame:
+    """One round over ``parts``: each piece with its ``container_id``, and ``again`` if its container isn't full."""
+    columns = [*kept, "piece_no", "piece_start", "tokens", "loss"]
+    limits = [F.col(f"_lim.{c}").alias(f"_most_{c}") for c in ("tokens", "segments", "loss")]
+    rows = parts.select(*columns, F.col("_lim.pack_name").alias("pack_name"), *limits, F.pmod(F.xxhash64("_row", "piece_no", F.lit(level)), F.lit(lots)).alias("_lot"))
+    keys = ["pack_name", "_lot"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "tokens", "loss", "_row", "piece_no")
+    schema = rows.drop("_lot").schema.add("container_id", "long").add("again", "boolean")
+    names = [f.name for f in schema]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, rows = sent.value
-        starts = rows[:, 0] << 40 | rows[:, 1]
-        for batch in batches:
-            size, loss, rank = (batch.column(c).to_numpy() for c in ("tokens", "loss", "rank"))
-            kind = np.searchsorted(codes, size << 32 | loss)
-            row = rows[np.searchsorted(starts, kind << 40 | rank, side="right") - 1] if len(rank) else rows[:0]
-            container = row[:, 3] + (rank - row[:, 1]) // row[:, 2]
-            kept = [batch.column(c) for c in (key, "piece_no", "piece_start", "tokens")]
-            yield pa.RecordBatch.from_arrays([pa.array(container, pa.int64()), *kept], names=["container_id", key, "piece_no", "piece_start", "piece_tokens"])
-
-    kind = dict(items.dtypes)[key]
-    return ranked.select(key, "piece_no", "piece_start", "tokens", "loss", "rank").mapInArrow(kernel, f"container_id long, `{key}` {kind}, piece_no long, piece_start long, piece_tokens long")
-
-
-def pack_all(items: DataFrame, key: str, capacities: DataFrame, max_packs: int = 1000) -> DataFrame:
-    """:func:`pack` for each row of ``pack_name``, ``capacity_tokens``; rows with a null name or no capacity are left out."""
-    wanted = capacities.filter("pack_name IS NOT NULL AND capacity_tokens > 0").distinct().orderBy("pack_name").limit(max_packs + 1).collect()
-    if len(wanted) > max_packs:
-        raise ValueError(f"more than {max_packs} capacities")
-    sized = materialize(items, "pack-items")
-    made = [pack(sized, key, Limits(int(r["capacity_tokens"]))).select(F.lit(r["pack_name"]).alias("pack_name"), "*") for r in wanted]
-    if not made:
-        return pack(sized.limit(0), key, Limits(1)).select(F.lit("").alias("pack_name"), "*")
-    out = made[0]
-    for one in made[1:]:
-        out = out.unionAll(one)
-    return out
+        for table, block in key_blocks(batches, keys):
+            ends = np.cumsum(np.bincount(block))
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                lot = table.slice(a, b - a)
+                most = {c: lot.column(f"_most_{c}")[0].as_py() for c in ("tokens", "segments", "loss")}
+                size, loss = lot.column("tokens").to_numpy(), lot.column("loss").to_numpy()
+                container, full = _containers(size, loss if most["loss"] is not None else np.zeros_like(loss), Limits(**most))
+                number = (np.int64(level) << LOT_BITS | lot.column("_lot")[0].as_py()) << PLACE_BITS | container
+                out = lot.drop_columns(["_lot"]).append_column("container_id", pa.array(number)).append_column("again", pa.array(~full[container]))
+                yield from out.select(names).to_batches()
+
+    return rows.mapInArrow(kernel, schema)
+
+
+def pack_each(items: DataFrame, key: str, packs: dict[str, Limits], lot: int | None = None) -> DataFrame:
+    """``pack_name``, ``container_id``, ``key``, ``piece_no``, ``piece_start``, ``piece_tokens``, ``piece_loss`` of every item with ``tokens`` and ``loss``, packed anew for each name.
+
+    Numbers of containers are unique within a pack, not dense.
+    """
+    sized = materialize(items.select(key, F.col("tokens").cast("long").alias("tokens"), F.col("loss").cast("long").alias("loss"), F.monotonically_increasing_id().alias("_row")), "pack-items")
+    wanted = F.array(*(_limit_struct(n, limits) for n, limits in packs.items()))
+    kept = [key, "_row"]
+    parts = _pieces(sized.withColumn("_lim", F.explode(wanted)), kept)
+    size = lot or (LOT if all(limits.loss is None for limits in packs.values()) else LOSS_LOT)
+    n, done, level = parts.count(), [], 0
+    while True:
+        lots = max(1, -(-n // (size * len(packs))))
+        made = _packed(parts, kept, level, lots)
+        if lots == 1:
+            done.append(made)
+            break
+        made = materialize(made, "packed")
+        again = made.filter("again")
+        left = again.count()
+        if left * 2 > n:  # sizes that leave room whatever their company; dealing them again would not help
+            done.append(made)
+            break
+        done.append(made.filter("NOT again"))
+        lim = F.struct("pack_name", *(F.col(f"_most_{c}").alias(c) for c in ("tokens", "segments", "loss")))
+        parts, n, level = again.withColumn("_lim", lim).select(*kept, "_lim", "piece_no", "piece_start", "tokens", "loss"), left, level + 1
+    out = reduce(DataFrame.unionByName, done)
+    return out.select("pack_name", "container_id", key, "piece_no", "piece_start", F.col("tokens").alias("piece_tokens"), F.col("loss").alias("piece_loss"))
+
+
+def pack(items: DataFrame, key: str, limits: Limits, lot: int | None = None) -> DataFrame:
+    """:func:`pack_each` for one set of limits, without its name."""
+    return pack_each(items, key, {"": limits}, lot).drop("pack_name")
+
+
+def pack_all(items: DataFrame, key: str, capacities: DataFrame, segments: int | None = None, loss_percent: int | None = None) -> DataFrame:
+    """:func:`pack_each` for each row of ``pack_name``, ``capacity_tokens``; rows with a null name or no capacity are left out.
+
+    ``loss_percent`` limits the loss-bearing tokens to that share of the capacity. The capacities are settings: a plan has
+    a part for each, since each packs all items.
+    """
+    wanted = capacities.filter("pack_name IS NOT NULL AND capacity_tokens > 0").groupBy("pack_name").agg(F.max("capacity_tokens").alias("c")).orderBy("pack_name")
+    packs = {r["pack_name"]: Limits(int(r["c"]), segments, None if loss_percent is None else max(1, int(r["c"]) * loss_percent // 100)) for r in wanted.toLocalIterator()}
+    if not packs:
+        return pack_each(items.limit(0), key, {"": Limits(1)})
+    return pack_each(items, key, packs)

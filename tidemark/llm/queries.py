@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import source_name, symbol_list
@@ -67,24 +67,48 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.with_ids(_documents(spark, d))
 
 
+#: Limits beside the capacity in ``p8_limits``: documents of a container, and percent of the capacity that may bear loss.
+SEGMENTS, LOSS_PERCENT = 16, 75
+
+
 def _packs(spark: SparkSession, d: str) -> DataFrame:
     items = bpe.with_token_count(_documents(spark, d), count="tokens").withColumn("loss", F.col("tokens"))
-    return packing.pack_all(items.filter("tokens > 0"), "doc_id", table(spark, d, "pack_capacity"))
+    return packing.pack_all(items, "doc_id", table(spark, d, "pack_capacity"))
+
+
+def _limited(spark: SparkSession, d: str) -> DataFrame:
+    """All documents packed under three limits; a document's first line is its prompt, what follows bears loss."""
+    texts = _documents(spark, d).withColumn("prompt", F.when(F.contains("text", F.lit("\n")), F.substring_index("text", "\n", 1)))
+    items = bpe.with_token_count(bpe.with_token_count(texts, count="tokens"), text="prompt", count="asked")
+    items = items.withColumn("loss", F.greatest(F.lit(0), F.col("tokens") - F.col("asked")))
+    return packing.pack_all(items, "doc_id", table(spark, d, "pack_capacity"), SEGMENTS, LOSS_PERCENT)
 
 
 def p8_packs(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or piece of a document larger than a container, for each capacity."""
-    return _packs(spark, d)
+    return _packs(spark, d).drop("piece_loss")
 
 
-def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """For each capacity the number of containers, the fewest there could be, and the share of room left unused."""
-    sums = _packs(spark, d).groupBy("pack_name", "container_id").agg(F.sum("piece_tokens").alias("t"))
-    totals = sums.groupBy("pack_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"))
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The same under limits on tokens, documents and loss-bearing tokens of a container at once."""
+    return _limited(spark, d)
+
+
+def _fill(packs: DataFrame, capacities: DataFrame, limits: str, fewest: Column) -> DataFrame:
+    sums = packs.groupBy("pack_name", "container_id").agg(F.sum("piece_tokens").alias("t"), F.sum("piece_loss").alias("l"), F.count(F.lit(1)).alias("s"))
+    totals = sums.groupBy("pack_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.sum("l").alias("loss"), F.sum("s").alias("segments"))
     room = F.col("containers") * F.col("capacity_tokens")
-    return totals.join(table(spark, d, "pack_capacity"), "pack_name").select(
-        "pack_name", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), ((room - F.col("tokens")) / room).alias("unused")
-    )
+    known = totals.join(capacities, "pack_name")
+    return known.select("pack_name", F.lit(limits).alias("limits"), "containers", "tokens", fewest.cast("long").alias("fewest"), ((room - F.col("tokens")) / room).alias("unused"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity, with the token limit only and with all three: the number of containers, a lower bound of it, and the share of room left unused."""
+    capacities = table(spark, d, "pack_capacity").groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity_tokens"))
+    least = lambda used, most: F.ceil(F.col(used) / most)
+    tokens = least("tokens", F.col("capacity_tokens"))
+    every = F.greatest(tokens, least("segments", F.lit(SEGMENTS)), least("loss", F.expr(f"capacity_tokens * {LOSS_PERCENT} div 100")))
+    return _fill(_packs(spark, d), capacities, "tokens", tokens).unionAll(_fill(_limited(spark, d), capacities, "tokens, segments, loss", every))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +122,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p6_found, p6_clean, p7_ids, p8_packs, p8_fill, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p6_found, p6_clean, p7_ids, p8_packs, p8_limits, p8_fill, p9_found, p9_share)}
 
 _FIRST = f"SELECT {', '.join(TRADE_IDENTITY)}, min(ingest_seq) AS ingest_seq FROM stock_trades GROUP BY {', '.join(TRADE_IDENTITY)}"
 
