@@ -82,5 +82,33 @@ def test_stream_changelog_settles_to_the_same(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all")
     log = drain_to_table(stream_changelog(stream, "k", "e", "a", "v", RULE), f"{tmp_path}/home")
     done = settle(log, ["key", "period_us"], ["total"])
-    assert {(r.key, r.period_us, r.n, r.total) for r in done.collect()} == {("a", 0, 3, 7.0), ("b", 100, 1, 0.0)}
+    assert {(r.key, r.period_us, r.n, r.total) for r in done.collect()} == {("a", 0, 3, 7), ("b", 100, 1, 0)}
     assert log.filter("weight = -1").count() == 1
+
+
+def test_files_out_of_the_order_of_arrival_lose_nothing(spark, tmp_path):
+    from tidemark.streaming.feeds import drain_to_table
+    from tidemark.streaming.revisions import stream_changelog
+
+    schema = "k string, e long, a long, v long"
+    rows = [("a", 10 + i, 390_000_000 - i * 60_000_000, i) for i in range(6)] + [("b", 20, 400_000_000, 8)]
+    for i, row in enumerate(reversed(rows)):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        spark.read.parquet(f"{tmp_path}/in{i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/all")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all")
+    rule = Lateness(100_000_000, 600_000_000)
+    done = settle(drain_to_table(stream_changelog(stream, "k", "e", "a", "v", rule, "1 hour"), f"{tmp_path}/home"), ["key", "period_us"], ["total"])
+    assert {(r.key, r.n, r.total) for r in done.collect()} == {("a", 6, 15), ("b", 1, 8)}
+
+
+def test_streamed_thinning_keeps_the_last_arrival_over_batches(spark, tmp_path):
+    from tidemark.streaming.deltas import last_per_bucket
+
+    schema = "symbol string, ts_us long, bid_price double, ingest_seq long"
+    parts = [[("A", 1_100_000, 1.0, 1), ("A", 1_900_000, 2.0, 2), ("A", 2_500_000, 3.0, 3)], [("A", 1_950_000, 4.0, 5), ("A", 2_100_000, 9.0, 0)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+    stream = lambda n: spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(f"{tmp_path}/q")
+    for n in (1, 8):
+        got = last_per_bucket(stream(n), 1_000_000, ["bid_price"], f"{tmp_path}/home{n}")
+        assert {(r.bucket_us, r.bid_price) for r in got.collect()} == {(1_000_000, 4.0), (2_000_000, 3.0)}

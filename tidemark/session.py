@@ -102,7 +102,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, label: str, max_rows: int, max_bytes: int) -> tuple[DataFrame, bool]:
     """``df`` written out and measured: a broadcast hint if it is within both bounds, else the plain table.
 
-    The byte figure is the in-memory width of strings plus 16 bytes a column.
+    The byte figure is the in-memory width of strings plus 16 bytes a column and 64 bytes an
+    element of an array, whose elements must be of fixed width.
     Callers must join in a way that also works without the hint.
     """
     table = materialize(df, label)
@@ -110,6 +111,8 @@ def broadcast_if_small(df: DataFrame, label: str, max_rows: int, max_bytes: int)
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
             width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            width = width + F.greatest(F.size(name), F.lit(0)) * 64
     row = table.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
     small = row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
     return (F.broadcast(table) if small else table), small

@@ -50,7 +50,17 @@ def latest(rows: DataFrame, key: list[str], values: list[str], home: str) -> Dat
     return parts.groupBy(*key).agg(F.max("_v").alias("_v")).select(*key, "_v.*")
 
 
-def first_per_bucket(quotes: DataFrame, bucket_us: int, lateness: str = "1 hour") -> DataFrame:
-    """The first quote to arrive in each symbol and bucket; a bucket is forgotten once the watermark is past it."""
-    bucketed = quotes.withColumn("bucket_us", floor_to(F.col("ts_us"), bucket_us)).withColumn("event_time", F.timestamp_micros("ts_us"))
-    return bucketed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["symbol", "bucket_us"]).drop("event_time")
+def last_per_bucket(quotes: DataFrame, bucket_us: int, values: list[str], home: str) -> DataFrame:
+    """The last quote to arrive in each symbol and bucket of event time, however a stream is cut into batches.
+
+    A batch keeps one quote of a bucket; a later batch that brings one more of it takes its place.
+    """
+    best = F.max(F.struct("ingest_seq", "ts_us", *values)).alias("_v")
+    bucket = floor_to(F.col("ts_us"), bucket_us).alias("bucket_us")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy("symbol", bucket).agg(best).write.mode("overwrite").parquet(f"{home}/parts/batch={number}")
+
+    drain(quotes, write, home)
+    parts = quotes.sparkSession.read.parquet(f"{home}/parts")
+    return parts.groupBy("symbol", "bucket_us").agg(F.max("_v").alias("_v")).select("symbol", "bucket_us", "_v.*")
