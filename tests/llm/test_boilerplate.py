@@ -84,7 +84,7 @@ def test_clusters_need_the_similarity(spark):
 
 
 def _brute_clusters(texts, similarity=0.8):
-    sets = {n: bp._shingles(t) for n, t in texts.items()}
+    sets = {n: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for n, t in texts.items()}
     near = {n: {m for m in sets if m != n and len(sets[m] & sets[n]) >= similarity * len(sets[m] | sets[n])} for n in sets}
     of = {}
     for n in sorted(near):
@@ -114,13 +114,46 @@ def test_clusters_equal_brute_force_with_chains_of_variants(spark, monkeypatch,
     assert {(r.source, r.mask): r.cluster for r in bp.clusters(forms).collect()} == want
 
 
-@pytest.mark.parametrize("sent", [bp.MAX_SENT_LINKS, -1])
-def test_components_follow_every_link(spark, monkeypatch, sent):
-    monkeypatch.setattr(bp, "MAX_SENT_LINKS", sent)
+def test_components_follow_every_link(spark):
     links = spark.createDataFrame([("s", 9, 3), ("s", 9, 5), ("s", 8, 5), ("s", 8, 1), ("t", 9, 2)], "source string, mask long, rep long")
     assert {(r.source, r.mask, r.cluster) for r in bp.components(links).collect()} == {*(("s", m, 1) for m in (3, 5, 8, 9)), ("t", 9, 2)}
     assert bp.components(links.limit(0)).collect() == []
 
 
+def test_hashing_alone_finds_most_links_of_families(spark):
+    """Stars of a long line and eight variants with one word changed, at a similarity of 0.836 to it."""
+    rng = np.random.default_rng(12)
+    rows, pairs = [], []
+    for family in range(100):
+        base = [f"f{family}w{i}" for i in range(60)]
+        rows.append((family * 9, base))
+        for v in range(1, 9):
+            words = base.copy()
+            words[int(rng.integers(5, 55))] = f"x{v}"
+            rows.append((family * 9 + v, words))
+            pairs.append((family * 9, family * 9 + v))
+    order = rng.permutation(900)
+    forms = spark.createDataFrame([("s", int(order[n]), " ".join(w)) for n, w in rows], "source string, mask long, form string")
+    found = {whole: {r.mask: r.cluster for r in bp.clusters(forms, whole=whole).collect()} for whole in (False, True)}
+    same = {w: sum(c.get(int(order[a]), int(order[a])) == c.get(int(order[b]), int(order[b])) for a, b in pairs) / len(pairs) for w, c in found.items()}
+    assert same[True] == 1.0 and same[False] > 0.2, same
+
+
+def test_masks_keep_sentence_starts_and_short_lines(spark):
+    lines = {
+        "Bonds due 2041 were sold by Anna Berg on May 3, 2021": "Bonds due <0> were sold by <n> on <d>",
+        "By Anna Berg": "By Anna Berg",
+        "Read it here. Shares of Acme fell 3.5 percent": "Read it here. Shares of <n> fell <0> percent",
+        "12 34 56": "12 34 56",
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.form for r in df.select("line", bp.masked(F.col("line")).alias("form")).collect()} == lines
+
+
+def test_many_wanted_lines_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bp, "broadcast_if_small", lambda df, *_: (df, False))
+    assert _found(spark, ROWS) == _brute(ROWS)
+
+
 def test_empty(spark):
     assert _found(spark, []) == set()

@@ -37,11 +37,11 @@ def _brute(rows, length):
     return sorted(out)
 
 
-def _got(spark, rows, length=20, gram=8):
-    return sorted(map(tuple, shared_spans(_frame(spark, rows), "id", "body", length, gram).collect()))
+def _got(spark, rows, length=20, gram=8, slice_chars=1 << 20):
+    return sorted(map(tuple, shared_spans(_frame(spark, rows), "id", "body", length, gram, slice_chars).collect()))
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6), st.sampled_from(["ab", "a", "abcdefgh 😀é"]))
 def test_equals_brute_force(spark, seed, letters):
     rng = random.Random(seed)
@@ -52,6 +52,7 @@ def test_equals_brute_force(spark, seed, letters):
         texts[b] = texts[b][:j] + texts[a][i : i + n] + texts[b][j:]
     rows = list(enumerate(texts))
     assert _got(spark, rows) == _brute(rows, 20)
+    assert _got(spark, rows, slice_chars=23) == _brute(rows, 20)
 
 
 def test_copies_repeats_nulls_and_short_texts(spark):
@@ -67,7 +68,8 @@ def test_production_lengths_on_a_long_text(spark):
     rng = random.Random(7)
     long = "".join(rng.choice("abcdefghijklmnop \n") for _ in range(60_000))
     rows = [(1, long), (2, "q" * 500 + long[1000:1199] + "q" * 500), (3, long[2000:2200]), (4, "zz" + long[30_000:41_234])]
-    assert _got(spark, rows, 200, 100) == [(1, 2000, 2200), (1, 30_000, 41_234), (3, 0, 200), (4, 2, 11_236)]
+    for slice_chars in (1 << 20, 1000):
+        assert _got(spark, rows, 200, 100, slice_chars) == [(1, 2000, 2200), (1, 30_000, 41_234), (3, 0, 200), (4, 2, 11_236)]
 
 
 def test_many_documents_share_a_passage_in_different_surroundings(spark):

@@ -3,17 +3,18 @@
 1. Each distinct line of a source is counted by the articles it stands in, before
    the shuffle on the map side as well.
 2. Lines are masked (dates, numbers, names), so copies that differ in those only
-   become one.
-3. Masked lines of a source are clustered by locality-sensitive hashing: MinHash
-   over shingles of five words, bands, and within each band bucket a comparison with
-   the bucket's representative (its smallest hash) that must reach the similarity.
+   become one form. Lines of which masking leaves less than three words are their own form.
+3. Forms of a source are clustered by locality-sensitive hashing: MinHash over
+   shingles of five words, bands, and within each band bucket a comparison with
+   the bucket's representative (its smallest number) that must reach the similarity.
 4. What that misses is found by an exact prefix filter: with shingles in one order,
-   rarest first, two lines of the similarity share one of their first few. Lines that
+   rarest first, two forms of the similarity share one of their first few. Forms that
    share one and are not yet in one cluster are compared, in blocks of bounded size.
 5. Clusters are the connected components of all links.
 6. A cluster whose lines stand in enough articles of the source is boilerplate.
 
-The first links cost linear work and leave few comparisons to the exact step.
+The first links cost linear work and leave few comparisons to the exact step. Forms are
+told apart by numbers given to them once, not by a hash.
 
 Defined cases: null sources and null or empty texts take no part; lines are compared
 after white space runs became one space, and blank lines are no lines; a line counts
@@ -23,10 +24,10 @@ counts; shorter lines than five words are one shingle. Empty input gives an empt
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 4, 3
 #: Counters by which shingles are ordered; sharing one changes the order, never the result.
 COUNTERS = 1 << 20
-#: Links up to this number are followed on the driver, more of them by rounds of joins; both give the same clusters.
-MAX_SENT_LINKS = 200_000
+#: Parts into which the places of a line are dealt where the wanted lines are too many to be sent.
+SALTS = 16
+#: Words that must be left of a masked line.
+LEAST_WORDS = 3
 #: Lines of a bucket that one block of the exact comparison holds, on average.
 BLOCK = 1000
 
@@ -52,8 +55,8 @@ MONTHS = (
 )
 DATE = rf"\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b(?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?\b|\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONTHS})\.?(?:,?\s+\d{{4}})?\b"
 NUMBER = r"\d[\d.,:/]*+"
-#: possessive, so that matching a very long run of capitalised words needs no stack
-NAME = r"\b\p{Lu}[\p{L}'’\-]++(?:\s++\p{Lu}[\p{L}'’\-]++)*+"
+#: A capitalised word within a sentence and those that follow it; possessive, so that matching a very long run needs no stack.
+NAME = r"(?<=[^.!?:] )\p{Lu}[\p{L}'’\-]++(?:\s++\p{Lu}[\p{L}'’\-]++)*+"
 
 
 @dataclass(frozen=True)
@@ -70,26 +73,31 @@ def squeezed(text: Column) -> Column:
 
 
 def masked(line: Column) -> Column:
-    """The line with dates, names and numbers replaced by marks."""
-    dated = F.regexp_replace(line, DATE, "<d>")
-    return F.regexp_replace(F.regexp_replace(dated, NAME, "<n>"), NUMBER, "<0>")
+    """The line with dates, numbers and names within sentences replaced by marks; itself if less than three words are left."""
+    named = lambda x: F.regexp_replace(x, NAME, "<n>")
+    counted = F.regexp_replace(named(F.regexp_replace(line, DATE, "<d>")), NUMBER, "<0>")
+    form = F.when(line.rlike("[0-9]"), counted).otherwise(named(line))
+    left = F.size(F.filter(F.split(form, " "), lambda w: ~F.startswith(w, F.lit("<"))))
+    return F.when(left >= LEAST_WORDS, form).otherwise(line)
 
 
 def article_lines(articles: DataFrame, key: str, source: Column, text: str) -> DataFrame:
     """``key``, ``source`` and the array ``lines`` of each article that takes part."""
     rows = articles.select(F.col(key).alias("key"), source.alias("source"), F.col(text).alias("text"))
     rows = rows.filter(F.col("source").isNotNull() & (F.col("text") != "") & F.col("key").isNotNull())
-    ids = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # reads the ids only; texts are shuffled only where ids repeat
+    ids = articles.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND key IS NOT NULL")
     if not ids.isEmpty():
         rows = rows.groupBy("key").agg(F.min(F.struct("text", "source")).alias("_one")).select("key", "_one.source", "_one.text")
     return rows.select("key", "source", F.transform(F.split(squeezed(F.col("text")), "\n"), lambda x: F.trim(x)).alias("lines"))
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
-    """``source``, ``line``, ``n`` articles it stands in, and the hash ``mask`` of its masked form with that form."""
-    each = lines.select("source", F.explode(F.array_distinct(F.filter("lines", lambda x: x != ""))).alias("line"))
+    """``source``, ``line``, ``n`` articles it stands in, and its masked ``form``; the empty line counts the source's articles."""
+    distinct = F.array_distinct(F.filter("lines", lambda x: x != ""))
+    each = lines.select("source", F.explode(F.concat(distinct, F.array(F.lit("")))).alias("line"))
     counted = each.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("form", masked(F.col("line"))).withColumn("mask", F.xxhash64("source", "form"))
+    return counted.withColumn("form", masked(F.col("line")))
 
 
 def _signatures(forms: DataFrame) -> DataFrame:
@@ -102,9 +110,8 @@ def _signatures(forms: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shingles = [_shingles(t) for t in batch.column("form").to_pylist()]
-            starts = np.cumsum([0, *map(len, shingles[:-1])])
-            flat = np.fromiter((h for s in shingles for h in s), "uint64")
+            flat, sizes = _shingles(batch.column("form").to_pylist())
+            starts = np.cumsum(sizes) - sizes
             keys = np.empty((batch.num_rows, BANDS), "int64")
             for b in range(BANDS):
                 mixed = np.full(batch.num_rows, b + 1, "uint64")
@@ -121,15 +128,63 @@ def _signatures(forms: DataFrame) -> DataFrame:
     return made.select("source", "mask", F.explode("bands").alias("band"))
 
 
-def _shingles(text: str) -> set[int]:
-    """Hashes of the text's shingles of five words; a shorter text is one shingle."""
-    words = text.split()
-    many = max(1, len(words) - SHINGLE + 1)
-    out = set()
-    for i in range(many):
-        data = " ".join(words[i : i + SHINGLE]).encode()
-        out.add(zlib.crc32(data) << 32 | zlib.adler32(data))
-    return out
+class _Words(dict):
+    """Hashes of words, kept while there are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        data = word.encode()
+        found = zlib.crc32(data) << 32 | zlib.adler32(data) ^ len(data)
+        if len(self) < 1 << 18:
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+
+
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of five words of all texts, one after the other, and their number in each; a shorter text is one shingle. Repeated shingles repeat."""
+    split = [t.split() for t in texts]
+    count = np.fromiter(map(len, split), "int64", len(split))
+    many = np.maximum(count - SHINGLE + 1, 1)
+    word = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(split)), "uint64", int(count.sum()))
+    word = (word ^ word >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    word = np.concatenate([word ^ word >> np.uint64(29), np.zeros(SHINGLE, "uint64")])
+    owner = np.repeat(np.arange(len(split)), many)
+    first = np.cumsum(count) - count
+    at = first[owner] + np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+    end = (first + count)[owner]
+    out = np.full(len(at), 0x2545F4914F6CDD1D, "uint64")
+    for j in range(SHINGLE):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(at + j < end, word[np.minimum(at + j, len(word) - 1)], np.uint64(j + 1))
+        out ^= out >> np.uint64(32)
+    return out, many
+
+
+def _shingle_sets(texts: list[str]) -> list[frozenset[int]]:
+    flat, sizes = _shingles(texts)
+    ends = np.cumsum(sizes)
+    values = flat.tolist()
+    return [frozenset(values[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _similar(one: list[str], two: list[str], similarity: float) -> np.ndarray:
+    """Whether the texts at the same place of both lists have at least that Jaccard similarity."""
+
+    def marked(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = _shingles(texts)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        order = np.lexsort((flat, row))
+        flat, row = flat[order], row[order]
+        first = np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])] if len(flat) else np.zeros(0, bool)
+        return flat[first], row[first]
+
+    (a, at), (b, bt) = marked(one), marked(two)
+    flat, row = np.concatenate([a, b]), np.concatenate([at, bt])
+    order = np.lexsort((flat, row))
+    flat, row = flat[order], row[order]
+    met = np.bincount(row[1:][(flat[1:] == flat[:-1]) & (row[1:] == row[:-1])], minlength=len(one))
+    return met >= similarity * (np.bincount(row, minlength=len(one)) - met)
 
 
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -137,12 +192,9 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("form").to_pylist(), batch.column("other").to_pylist(), strict=True):
-                x, y = _shingles(a), _shingles(b)
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["source", "mask", "rep"])
+            if batch.num_rows:
+                keep = _similar(batch.column("form").to_pylist(), batch.column("other").to_pylist(), similarity)
+                yield batch.filter(pa.array(keep, pa.bool_())).select(["source", "mask", "rep"])
 
     return pairs.select("source", "mask", "rep", "form", "other").mapInArrow(kernel, "source string, mask long, rep long")
 
@@ -153,8 +205,7 @@ def _prefixes(forms: DataFrame, similarity: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, "int64")
         for batch in batches:
-            for text in batch.column("form").to_pylist():
-                seen[[_counter(h) for h in _shingles(text)]] += 1
+            seen += np.bincount(_counter(_shingles(batch.column("form").to_pylist())[0]), minlength=COUNTERS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
 
@@ -166,20 +217,26 @@ def _prefixes(forms: DataFrame, similarity: float) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_of = sent.value
         for batch in batches:
-            first = []
-            for text in batch.column("form").to_pylist():
-                ordered = sorted((n_of[_counter(h)], h) for h in _shingles(text))
-                many = len(ordered) - math.ceil(similarity * len(ordered) - 1e-9) + 1
-                first.append(np.array([h for _, h in ordered[:many]], "uint64").view("int64"))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]), np.concatenate([np.empty(0, "int64"), *first]))
+            flat, sizes = _shingles(batch.column("form").to_pylist())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, n_of[_counter(flat)], row))
+            flat, row = flat[order], row[order]
+            if len(flat):
+                new = np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]
+                flat, row = flat[new], row[new]
+            size = np.bincount(row, minlength=batch.num_rows)
+            many = size - np.ceil(similarity * size - 1e-9).astype("int64") + 1
+            place = np.arange(len(flat)) - (np.cumsum(size) - size)[row]
+            kept = place < many[row]
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.minimum(many, size))]), flat[kept].view("int64"))
             yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("mask"), lists], names=["source", "mask", "first"])
 
     made = forms.select("source", "mask", "form").mapInArrow(kernel, "source string, mask long, first array<long>")
     return made.select("source", "mask", F.explode("first").alias("shingle"))
 
 
-def _counter(shingle: int) -> int:
-    return (shingle ^ shingle >> 32) % COUNTERS
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles ^ shingles >> np.uint64(32)) % np.uint64(COUNTERS)).astype("int64")
 
 
 def _rest_links(forms: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
@@ -200,11 +257,12 @@ def _rest_links(forms: DataFrame, known: DataFrame, similarity: float) -> DataFr
         at, block = None, []
         for batch in batches:
             out = []
-            for *key, late, mask, cluster, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            *columns, forms_ = (c.to_pylist() for c in batch.columns)
+            for *key, late, mask, cluster, shingles in zip(*columns, _shingle_sets(forms_), strict=True):
                 if key != at:
                     out += _block_links(at, block, similarity)
                     at, block = key, []
-                block.append((late, mask, cluster, _shingles(form)))
+                block.append((late, mask, cluster, shingles))
             yield _link_batch(out)
         yield _link_batch(_block_links(at, block, similarity))
 
@@ -216,7 +274,7 @@ def _link_batch(links: list[tuple[str, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(mask, pa.int64()), pa.array(rep, pa.int64())], names=["source", "mask", "rep"])
 
 
-def _block_links(key: list | None, block: list[tuple[bool, int, int, set[int]]], similarity: float) -> list[tuple[str, int, int]]:
+def _block_links(key: list | None, block: list[tuple[bool, int, int, frozenset[int]]], similarity: float) -> list[tuple[str, int, int]]:
     """Links that join all clusters of a block of which two forms are alike; forms of one cluster are not compared."""
     if key is None or len({cluster for _, _, cluster, _ in block}) < 2:
         return []
@@ -224,7 +282,7 @@ def _block_links(key: list | None, block: list[tuple[bool, int, int, set[int]]],
     one = low == high
     root: dict[int, int] = {cluster: cluster for _, _, cluster, _ in block}
     # forms of each cluster that later rows meet: all of them within one block, else those of the lower block
-    met: dict[int, list[tuple[int, set[int]]]] = {}
+    met: dict[int, list[tuple[int, frozenset[int]]]] = {}
     out = []
 
     def top(c: int) -> int:
@@ -263,8 +321,6 @@ def components(links: DataFrame) -> DataFrame:
     the node and its smaller neighbours do, until every link leads to the smallest of all.
     """
     edges = materialize(links.select("source", "mask", "rep").distinct(), "line-links")
-    if edges.count() <= MAX_SENT_LINKS:
-        return _followed(edges)
     print_of = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("source", "mask", "rep"))).first()
     before = print_of(edges)
     while True:
@@ -282,24 +338,6 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def _followed(edges: DataFrame) -> DataFrame:
-    root: dict[tuple[str, int], int] = {}
-
-    def top(source: str, m: int) -> int:
-        while (up := root.setdefault((source, m), m)) != m:
-            root[source, m] = root[source, up]
-            m = up
-        return m
-
-    for source, mask, rep in edges.select("source", "mask", "rep").collect():
-        a, b = sorted((top(source, mask), top(source, rep)))
-        root[source, b] = a
-    rows = [(source, m, top(source, m)) for source, m in list(root)]
-    source, mask, cluster = zip(*(r for r in rows if r[1] != r[2]), strict=True) if rows else ((), (), ())
-    made = pa.table({"source": pa.array(source, pa.string()), "mask": pa.array(mask, pa.int64()), "cluster": pa.array(cluster, pa.int64())})
-    return edges.sparkSession.createDataFrame(made)
-
-
 def clusters(forms: DataFrame, similarity: float = SIMILARITY, whole: bool = True) -> DataFrame:
     """``source``, ``mask``, ``cluster`` of the masked forms that belong to another one's cluster; all others are their own.
 
@@ -334,15 +372,16 @@ def repeated_lines(lines: DataFrame, rule: Excess, exact: bool, similarity: floa
     takes the clusters that hashing alone finds.
     """
     counted = materialize(line_counts(lines), "line-counts")
-    totals = lines.groupBy("source").agg(F.count(F.lit(1)).alias("articles"))
-    forms = counted.groupBy("source", "mask").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
-    forms = materialize(forms, "line-forms")
+    totals = counted.filter("line = ''").select("source", F.col("n").alias("articles"))
+    counted = counted.filter("line <> ''")
+    forms = counted.groupBy("source", "form").agg(F.sum("n").alias("n"))
+    # the numbers are written out, so that all uses see the same ones
+    forms = materialize(forms.withColumn("mask", F.monotonically_increasing_id()), "line-forms")
     links = clusters(forms, similarity, whole=not exact)
-    placed = forms.select("source", "mask", "n").join(links, ["source", "mask"], "left")
-    placed = placed.withColumn("cluster", F.coalesce("cluster", "mask"))
+    placed = forms.join(links, ["source", "mask"], "left").withColumn("cluster", F.coalesce("cluster", "mask"))
     heavy = _threshold(placed.groupBy("source", "cluster").agg(F.sum("n").alias("total")), totals, "total", rule)
-    members = placed.drop("n").join(heavy.select("source", "cluster"), ["source", "cluster"])
-    found = counted.select("source", "mask", "line", "n").join(members, ["source", "mask"])
+    members = placed.drop("n", "mask").join(heavy.select("source", "cluster"), ["source", "cluster"])
+    found = counted.join(members, ["source", "form"])
     if exact:
         return _threshold(found, totals, "n", rule).select("source", "line", "cluster")
     found = materialize(found.select("source", "line", "cluster"), "cluster-lines")
@@ -354,11 +393,16 @@ def occurrences(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key``, ``line_no`` (from 1) and the columns of ``wanted``, for each place where a wanted line stands.
 
     The wanted lines are sent to all executors if they are few; else both sides are
-    shuffled by source and line, and adaptive execution splits the frequent ones.
+    shuffled by source and line, and the places of each line are dealt into parts.
     """
-    wanted, _ = broadcast_if_small(wanted, "wanted-lines", 200_000, 48 << 20)
+    wanted, sent = broadcast_if_small(wanted, "wanted-lines", 200_000, 48 << 20)
     places = lines.select("key", "source", F.posexplode("lines").alias("at", "line")).filter(F.col("line") != "")
-    return places.join(wanted, ["source", "line"]).select("key", (F.col("at") + 1).cast("long").alias("line_no"), *wanted.columns)
+    keys = ["source", "line"]
+    if not sent:
+        places = places.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        wanted = wanted.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        keys.append("_salt")
+    return places.join(wanted, keys).select("key", (F.col("at") + 1).cast("long").alias("line_no"), *(c for c in wanted.columns if c != "_salt"))
 
 
 def without_lines(articles: DataFrame, key: str, text: str, drop: DataFrame, out: str) -> DataFrame:

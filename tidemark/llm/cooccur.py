@@ -27,15 +27,18 @@ RUN_CODES = 1 << 21
 #: Bounds of the item table that may be sent to every executor; beyond them numbers come by a join.
 MAX_SENT_ITEMS = 1_000_000
 MAX_SENT_BYTES = 32 << 20
+#: Partitions in which more items than that are numbered.
+PARTS = 512
 
 
 def pair_counts(records: DataFrame, record: str, items: str, min_count: int = 1, max_sent: int = MAX_SENT_ITEMS) -> DataFrame:
     """``item_a`` < ``item_b``, ``n_ab``, ``n_a``, ``n_b``, ``n_all``, ``ratio`` and ``odds_ratio`` of pairs with at least ``min_count`` records.
 
-    ``items`` is an array of strings, distinct and sorted by code point and without
-    nulls. Each row is a record of its own, whether its ``record`` is null or repeated.
+    ``items`` is an array of strings in any order; nulls and empty ones drop out. Each
+    row is a record of its own, whether its ``record`` is null or repeated.
     """
-    named = records.filter(F.size(items) > 0).select(F.col(record).alias("record"), F.col(items).alias("items"))
+    sound = F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != ""))))
+    named = records.select(F.col(record).alias("record"), sound.alias("items")).filter(F.size("items") > 0)
     # the empty string is no item; as one more element it counts the records
     counts = named.select(F.explode(F.concat("items", F.array(F.lit("")))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "items")
@@ -54,7 +57,7 @@ def pair_counts(records: DataFrame, record: str, items: str, min_count: int = 1,
     merged = _merge(_runs(lists).repartition("code").sortWithinPartitions("code")).filter(F.col("n_ab") >= min_count)
     vocabulary = numbered.join(counts, "item")
     one = lambda tag: vocabulary.select(F.col("id").alias(f"_{tag}"), F.col("item").alias(f"item_{tag}"), F.col("n").alias(f"n_{tag}"))
-    pairs = merged.withColumn("_a", F.shiftright("code", 32)).withColumn("_b", F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)))
+    pairs = merged.withColumn("_a", F.shiftrightunsigned("code", 32)).withColumn("_b", F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)))
     pairs = pairs.join(one("a"), "_a").join(one("b"), "_b").withColumn("n_all", F.lit(facts["n_all"] or 0).cast("long"))
     if not sent:  # then numbers follow no order
         swap = F.col("item_a") > F.col("item_b")
@@ -79,11 +82,17 @@ def above_chance(pairs: DataFrame, times: int) -> DataFrame:
 
 
 def _numbers(items: DataFrame) -> DataFrame:
-    """A 32-bit number for each of too many items: partition in the high bits, place in the partition in the low ones."""
-    place = F.monotonically_increasing_id()
-    packed = F.shiftleft(F.shiftright(place, 33), 21).bitwiseOR(place.bitwiseAND(F.lit((1 << 21) - 1)))
-    checked = F.when((F.shiftright(place, 33) < 1 << 10) & (place.bitwiseAND(F.lit((1 << 33) - 1)) < 1 << 21), packed)
-    return items.repartition(1 << 9, "item").sortWithinPartitions("item").select("item", F.coalesce(checked, F.raise_error(F.lit("too many items for 32-bit numbers")).cast("long")).alias("id"))
+    """Dense numbers from 0 for items too many to be sent: places in partitions, written out, plus the sizes of the partitions before."""
+    placed = materialize(items.repartition(PARTS, "item").sortWithinPartitions("item").select("item", F.monotonically_increasing_id().alias("_at")), "item-places")
+    part = F.shiftright("_at", 33)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = {}, 0
+    for p, n in sizes:
+        starts[p], total = total, total + n
+    if total > 1 << 32:
+        raise ValueError("a packed pair code holds numbers of 32 bits; there are more items than that")
+    first = F.element_at(F.create_map(*(F.lit(x) for p, n in starts.items() for x in (p, n))), part) if starts else F.lit(0)
+    return placed.select("item", (first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("id"))
 
 
 def _by_lookup(named: DataFrame, words: list[str]) -> DataFrame:

@@ -6,8 +6,11 @@ gram of ``GRAM`` characters with the smallest hash inside the window. Equal wind
 have the same minimizer at the same place, so they meet under its hash, whichever
 documents they are in; a document has about one minimizer for 50 characters.
 
-1. Each minimizer stands for a stretch of window starts. Minimizers found in one
-   document only are dropped; they are counted before the shuffle.
+Long texts are cut into pieces that overlap by one window less a character, so every
+window lies in one piece and no task hashes more than a piece at once.
+
+1. Each minimizer stands for a stretch of window starts; all stretches are written once.
+   Minimizers found in one document only are dropped; they are counted before the shuffle.
 2. Stretches with equal surroundings in two documents are shared as a whole. They are
    grouped by a hash of the surroundings, so copies never meet in pairs.
 3. Where a minimizer has different surroundings, the windows of one stretch for each
@@ -36,9 +39,9 @@ from tidemark.session import broadcast_if_small, materialize
 
 LENGTH = 200
 GRAM = 100
-#: Low bits of a key that hold a place; longer texts are refused.
-PLACE_BITS = 28
 SLICE_CHARS = 1 << 20
+#: Low bits of a key that hold a place in a slice; a piece with its overlap is below that.
+PLACE_BITS = 22
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SENT_ROWS, SENT_BYTES = 1_000_000, 48 << 20
 
@@ -105,8 +108,6 @@ def stretches(texts: list[str], length: int, gram: int) -> tuple[np.ndarray, ...
     empty = np.empty(0, "int64")
     if sizes.sum() < length:
         return (empty,) * 5
-    if sizes.sum() >= 1 << PLACE_BITS:
-        raise ValueError("a text is too long")
     mixed = _codes(texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
     begin = np.cumsum(sizes) - sizes
@@ -127,19 +128,25 @@ def stretches(texts: list[str], length: int, gram: int) -> tuple[np.ndarray, ...
     return text, first - begin[text], last - begin[text], grams[place].view("int64"), around.view("int64")
 
 
-def _stretch_rows(docs: DataFrame, length: int, gram: int, wide: bool) -> DataFrame:
-    names = ["doc", "low", "high", "gram", "around"] if wide else ["doc", "gram"]
-    kinds = {"doc": "long", "low": "int", "high": "int", "gram": "long", "around": "long"}
+def _pieces(documents: DataFrame, key: str, text: str, length: int, slice_chars: int) -> DataFrame:
+    """``doc``, ``base`` and ``text`` of each piece: the window starts from ``base`` on, ``slice_chars`` of them at most."""
+    docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")).filter((F.length("_text") >= length) & F.col("doc").isNotNull())
+    last = F.expr(f"(length(_text) - {length}) div {slice_chars}").cast("int")
+    cut = docs.select("doc", "_text", F.explode(F.sequence(F.lit(0), last)).alias("_piece"))
+    part = F.substring("_text", F.col("_piece") * slice_chars + 1, F.lit(slice_chars + length - 1))
+    return cut.select("doc", (F.col("_piece") * slice_chars).alias("base"), F.when(F.length("_text") < slice_chars + length, F.col("_text")).otherwise(part).alias("text"))
+
 
+def _stretch_rows(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc").to_numpy(), batch.column("text").to_pylist()
+            ids, base, texts = batch.column("doc").to_numpy(), batch.column("base").to_numpy(), batch.column("text").to_pylist()
             for a, b in _slices(texts):
                 text, low, high, grams, around = stretches(texts[a:b], length, gram)
-                found = {"doc": ids[a:b][text], "low": low.astype("int32"), "high": high.astype("int32"), "gram": grams, "around": around}
-                yield pa.RecordBatch.from_arrays([pa.array(found[n]) for n in names], names=names)
+                found = [ids[a:b][text], base[a:b][text], low.astype("int32"), high.astype("int32"), grams, around]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["doc", "base", "low", "high", "gram", "around"])
 
-    return docs.mapInArrow(kernel, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return pieces.select("doc", "base", "text").mapInArrow(kernel, "doc long, base int, low int, high int, gram long, around long")
 
 
 def _window_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -160,29 +167,30 @@ def _windows(row: pa.RecordBatch, length: int) -> pa.RecordBatch:
     size = (high - low + 1).astype("int64")
     which = np.repeat(np.arange(len(size)), size)
     start = low[which] + np.arange(size.sum()) - (np.cumsum(size) - size)[which]
-    values = [gram[which], hashes.of(start, start + length).view("int64"), least[which], most[which], np.repeat(row.column("doc").to_numpy(), size.sum()), start.astype("int32"), open_[which]]
+    base = row.column("base").to_numpy()
+    values = [gram[which], hashes.of(start, start + length).view("int64"), least[which], most[which], np.repeat(row.column("doc").to_numpy(), size.sum()), (base + start).astype("int32"), open_[which]]
     return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["gram", "window", "least", "most", "doc", "start", "open"])
 
 
-def shared_spans(documents: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def shared_spans(documents: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """``doc``, ``span_start``, ``span_end`` of each longest run of shared characters."""
-    docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter((F.length("text") >= length) & F.col("doc").isNotNull())
+    pieces = _pieces(documents, key, text, length, slice_chars)
     ends = lambda low, high: [F.min(low).alias("least"), F.max(high).alias("most")]
     several = F.col("least") != F.col("most")
 
-    grams = _stretch_rows(docs, length, gram, wide=False).groupBy("gram").agg(*ends("doc", "doc")).filter(several)
-    grams, _ = broadcast_if_small(grams.select("gram"), "shared-grams", SENT_ROWS, SENT_BYTES)
-    found = materialize(_stretch_rows(docs, length, gram, wide=True).join(grams, "gram"), "shared-stretches")
+    every = materialize(_stretch_rows(pieces, length, gram), "stretches")
+    grams = every.groupBy("gram").agg(*ends("doc", "doc"), (F.min("around") != F.max("around")).alias("mixed")).filter(several)
+    grams, _ = broadcast_if_small(grams.select("gram", "mixed"), "shared-grams", SENT_ROWS, SENT_BYTES)
+    found = materialize(every.join(grams, "gram"), "shared-stretches")
 
     around = found.groupBy("gram", "around").agg(*ends("doc", "doc"))
-    kinds = around.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = materialize(found.join(around, ["gram", "around"]).join(kinds, "gram").withColumn("open", ~several), "judged-stretches")
-    whole = judged.filter(several).select("doc", F.col("low").alias("a"), (F.col("high") + length).alias("b"))
+    judged = materialize(found.join(around, ["gram", "around"]).withColumn("open", ~several), "judged-stretches")
+    whole = judged.filter(several).select("doc", (F.col("base") + F.col("low")).alias("a"), (F.col("base") + F.col("high") + length).alias("b"))
 
-    apart = judged.filter((F.col("kinds") > 1) & (F.col("open") | (F.col("doc") == F.col("least"))))
-    wanted = apart.groupBy("doc").agg(F.collect_list(F.struct("low", "high", "gram", "least", "most", "open")).alias("wanted"))
+    apart = judged.filter(F.col("mixed") & (F.col("open") | (F.col("doc") == F.col("least"))))
+    wanted = apart.groupBy("doc", "base").agg(F.collect_list(F.struct("low", "high", "gram", "least", "most", "open")).alias("wanted"))
     wanted, _ = broadcast_if_small(wanted, "wanted-stretches", 100_000, SENT_BYTES)
-    windows = materialize(_window_rows(docs.join(wanted, "doc").select("doc", "text", "wanted"), length), "window-hashes")
+    windows = materialize(_window_rows(pieces.join(wanted, ["doc", "base"]).select("doc", "base", "text", "wanted"), length), "window-hashes")
     met = windows.groupBy("gram", "window").agg(*ends("least", "most")).filter(several).select("gram", "window")
     parts = windows.filter("open").join(met, ["gram", "window"]).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
     return joined(whole.unionAll(parts))
