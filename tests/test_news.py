@@ -114,7 +114,7 @@ DOCS = [(1, "MegaCorp acquires TinyStartup", None, None), (2, "Apple ships new p
 
 def _found(spark, query):
     df = spark.createDataFrame(DOCS, "id long, headline string, summary string, content_text string")
-    return [r.id for r in search.search_or_substring(df, query, 10).collect()]
+    return [r.id for r in search.search_or_substring(df, query, 10, df).collect()]
 
 
 def test_search(spark):

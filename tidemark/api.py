@@ -13,6 +13,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions.sessions import market_phase
 from tidemark.functions.text import source_name, symbol_list, truncate
 from tidemark.functions.times import floor_to, instant_us
@@ -22,15 +23,40 @@ from tidemark.operators import context, cursors, search, tape
 from tidemark.operators.ordered import order_statistics, percentile_ranks
 from tidemark.session import ship_code
 from tidemark.sources.tables import table
+from tidemark.streaming import jobs
+from tidemark.streaming.publish import Published, acknowledge, insert_alerts
 
 # The bounds of requests.
-MAX_ARTICLES, MAX_CURSOR_ITEMS, MAX_VERSIONS, MAX_RAW_EVENTS = 200, 500, 200, 500
-MAX_SYMBOLS, MAX_SYMBOL_MAP, MAX_SYMBOL_MAP_MINUTES, MAX_DIGEST = 50, 500, 10_080, 25
-MAX_WINDOW_MINUTES, MAX_WINDOW_ROWS, MAX_BARS, MAX_BARS_CURSOR = 240, 1000, 1000, 2000
-MAX_CONTEXT_SYMBOLS, MAX_TAPE_BUCKETS, MAX_STATUSES, MAX_TOP = 20, 360, 200, 50
-MAX_INTEREST, MAX_WATCHED, MAX_WATCHLIST = 200, 50, 500
-MAX_CALENDAR_DAYS, MAX_ACTIONS = 90, 200
-MAX_GROUPS, MAX_PHRASES, MAX_PHRASE_CHARS, MAX_CONTENT_CHARS = 50, 100, 200, 4000
+MAX_ARTICLES = 200
+MAX_CURSOR_ITEMS = 500
+MAX_VERSIONS = 200
+MAX_RAW_EVENTS = 500
+MAX_SYMBOLS = 50
+MAX_SYMBOL_MAP = 500
+MAX_SYMBOL_MAP_MINUTES = 10_080
+MAX_DIGEST = 25
+MAX_WINDOW_MINUTES = 240
+MAX_WINDOW_ROWS = 1000
+MAX_BARS = 1000
+MAX_BARS_CURSOR = 2000
+MAX_CONTEXT_SYMBOLS = 20
+MAX_TAPE_BUCKETS = 360
+MAX_STATUSES = 200
+MAX_TOP = 50
+MAX_INTEREST = 200
+MAX_WATCHED = 50
+MAX_WATCHLIST = 500
+MAX_CALENDAR_DAYS = 90
+MAX_ACTIONS = 200
+MAX_GROUPS = 50
+MAX_PHRASES = 100
+MAX_PHRASE_CHARS = 200
+MAX_CONTENT_CHARS = 4000
+MAX_SNAPSHOTS = 50
+MAX_HISTORY_SYMBOLS = 5
+MAX_HISTORY_DAYS = 365
+MAX_HISTORY_ARTICLES = 500
+MAX_BACKFILL_MINUTES = 10_080
 STALE_SECONDS = 120.0
 FIELD_MODES = ("compact", "standard", "full")
 
@@ -85,6 +111,7 @@ class Engine:
         self.watchlist: list[str] = sorted(set(symbols_of(watchlist, MAX_WATCHLIST) or []))
         self.watched: dict[int, int] = {}
         self.groups: dict[str, dict[str, list[str]]] = {}
+        self.index: search.TermIndex | None = None
 
     # -- tables
 
@@ -160,13 +187,19 @@ class Engine:
         return rows.orderBy(F.desc("received_us"), F.desc("version_id")).limit(bounded(limit, MAX_VERSIONS)).orderBy("received_us", "version_id")
 
     def search_news(self, query: str, symbols: Iterable[str] | None = None, since: str | None = None, until: str | None = None, limit: int = 50, fields: str = "standard") -> DataFrame:
+        """Scores are those in all articles, whatever the filters; with an index built by :meth:`index_news` no text is read for them."""
         rows = self._of_symbols(self._articles(), symbols_of(symbols))
         lower, upper = time_bound("since", since), time_bound("until", until, end_of_day=True)
         if lower is not None:
             rows = rows.filter(F.col("at_us") >= lower)
         if upper is not None:
             rows = rows.filter(F.col("at_us") <= upper)
-        return self._shown(search.search_or_substring(rows, query, bounded(limit, MAX_ARTICLES)), fields)
+        found = search.search_or_substring(rows, query, bounded(limit, MAX_ARTICLES), self.rows("news_articles"), self.index)
+        return self._shown(found, fields)
+
+    def index_news(self, home: str) -> None:
+        """Build the term index that :meth:`search_news` then uses."""
+        self.index = search.TermIndex(self.spark, home).build(self.rows("news_articles"))
 
     def news_for_symbols(self, symbols: Iterable[str], minutes: int = 1440, limit_per_symbol: int = 25) -> DataFrame:
         wanted = symbols_of(symbols)
@@ -213,16 +246,18 @@ class Engine:
         out = {"sample_count": total["n"], "max_ms": total["m"], "avg_ms": total["s"] // total["n"] if total["n"] else None}
         return out | {f"p{p}_ms": int(exact[f"p{p}"]) if exact else None for p in (50, 90, 99)}
 
+    def _raw_events(self) -> DataFrame:
+        return self.rows("raw_events", schemas.RAW_EVENTS)
+
     def ingestion_stats(self, minutes: int = 60) -> dict[str, int]:
         since = self._since(minutes)
         index = self.rows("news_symbol_index").filter(instant_us("received_at") >= since)
         seen = self._articles().filter(F.col("seen_us") >= since).agg(F.count(F.lit(1)).alias("a"), F.count_distinct("source").alias("s")).first()
         versions = self.rows("news_article_versions").filter(instant_us("received_at") >= since).count()
-        return {"articles": seen["a"], "versions": versions, "symbols": index.select("symbol").distinct().count(), "sources": seen["s"]}
+        return {"articles": seen["a"], "versions": versions, "symbols": index.select("symbol").distinct().count(), "sources": seen["s"], "raw_events": self._raw_events().filter(instant_us("received_at") >= since).count()}
 
     def raw_events(self, minutes: int = 15, limit: int = 100) -> DataFrame:
-        rows = self.rows("raw_events", "event_id string, received_at string, endpoint string, message_type string, raw_json string, replayed boolean")
-        recent = rows.filter(instant_us("received_at") >= self._since(minutes)).orderBy(F.desc("received_at")).limit(bounded(limit, MAX_RAW_EVENTS))
+        recent = self._raw_events().filter(instant_us("received_at") >= self._since(minutes)).orderBy(F.desc(instant_us("received_at")), F.desc("event_id")).limit(bounded(limit, MAX_RAW_EVENTS))
         return recent.withColumn("parsed", F.try_parse_json("raw_json"))
 
     # -- alerts and what the caller manages
@@ -254,6 +289,52 @@ class Engine:
     def alerts_since(self, cursor: int = 0, limit: int = 100, severity: str | None = None, min_severity: str | None = None, categories: Iterable[str] | None = None) -> dict[str, object]:
         return self._delta(self._alerts().filter(self._alert_filter(severity, min_severity, categories)), cursor, limit, MAX_CURSOR_ITEMS)
 
+    def acknowledge(self, store: Published, alert_id: str) -> bool:
+        """Mark an alert of the alert store as seen; whether there was such an alert."""
+        return acknowledge(store, [alert_id]) > 0
+
+    def subscription(self, acknowledged: dict[str, Iterable[str]] | None = None) -> dict[str, object]:
+        """What is asked of the feeds beside what they confirmed, by channel: ``missing`` was asked and not confirmed."""
+        asked = {"news": ["*"], **{c: list(self.watchlist) for c in ("trades", "quotes", "bars", "updatedBars", "dailyBars", "lulds")}, "statuses": ["*"]}
+        confirmed = {c: sorted(acknowledged.get(c, ())) for c in asked} if acknowledged is not None else {c: [] for c in asked}
+        return {"requested": asked, "acknowledged": confirmed, "missing": {c: sorted(set(v) - set(confirmed[c])) for c, v in asked.items()}}
+
+    def fetch_history(self, store: Published, pages: DataFrame, batch: int, symbols: Iterable[str], days: int = 30, max_articles: int = 200) -> dict[str, object]:
+        """Bring the newest articles of some symbols from a paged source into the published articles, without alerts."""
+        wanted = symbols_of(symbols, MAX_HISTORY_SYMBOLS)
+        if not wanted:
+            raise RequestError("no_symbols")
+        if not 1 <= days <= MAX_HISTORY_DAYS:
+            raise RequestError("invalid_days", min=1, max=MAX_HISTORY_DAYS)
+        run, _ = jobs.ingest_pages(store, pages, self._as_of(), batch, wanted, self.as_of_us - days * 86_400_000_000, bounded(max_articles, MAX_HISTORY_ARTICLES))
+        return {"symbols": wanted, "window_days": days, "ingested": run.ingested, **vars(run), "status": "incomplete" if run.failure else "ok"}
+
+    def run_backfill(self, store: Published, alert_store: Published, pages: DataFrame, batch: int, minutes: int = 30) -> dict[str, object]:
+        """Bring the articles of the last ``minutes`` into the published articles, and their alerts, but for latency, into the alert store."""
+        if not 1 <= minutes <= MAX_BACKFILL_MINUTES:
+            raise RequestError("invalid_minutes", min=1, max=MAX_BACKFILL_MINUTES)
+        run, states = jobs.ingest_pages(store, pages, self._as_of(), batch, since_us=self._since(minutes))
+        if states is not None:
+            insert_alerts(alert_store, jobs.alerts_of(states, self.rules(), self.interest, list(self.watched)), batch)
+        return {"window_minutes": minutes, "ingested": run.ingested, **vars(run), "status": "incomplete" if run.failure else "ok"}
+
+    def _as_of(self) -> Column:
+        return F.timestamp_micros(F.lit(self.as_of_us))
+
+    def resource(self, path: str) -> DataFrame | dict[str, object]:
+        """What a name stands for: recent, alerts, symbols, symbols/X, article/N, stats/latency, stats/ingestion, subscription, watchlist, latest/X, clock, halts."""
+        name, _, rest = path.partition("/")
+        plain: dict[str, Callable[[], DataFrame | dict[str, object]]] = {
+            "recent": lambda: self.recent_news(60, limit=50, fields="compact"), "alerts": lambda: self.alerts(240, limit=100), "symbols": lambda: self.symbol_map(60, 1),
+            "stats/latency": self.latency_stats, "stats/ingestion": self.ingestion_stats, "subscription": self.subscription,
+            "watchlist": lambda: {"watchlist": self.watchlist}, "clock": self.clock, "halts": lambda: self.halts(240, limit=100),
+        }
+        of: dict[str, Callable[[], DataFrame | dict[str, object]]] = {"symbols": lambda: self.news_for_symbols([rest]), "article": lambda: self.article(int(rest)), "latest": lambda: self.latest([rest])}
+        known = plain.get(path) or (of.get(name) if rest else None)
+        if known is None:
+            raise RequestError("unknown_resource", resource=path)
+        return known()
+
     def rules(self) -> alert_ops.Rules:
         return alert_ops.Rules().extended(self.groups)
 
@@ -311,8 +392,8 @@ class Engine:
         return rows.join(self._articles().select("id", "headline", "update_count", "at_us"), "id", "left")
 
     def watched_updates(self, states: DataFrame) -> DataFrame:
-        """Of updates applied by ``upsert.apply_updates``, the changes of content of watched stories."""
-        return states.filter(F.col("id").isin(list(self.watched)) & F.col("content_changed"))
+        """Of updates applied by ``upsert.apply_updates``, an alert for each change of content of a watched story."""
+        return alert_ops.watched_story_alerts(states, list(self.watched), self.rules())
 
     # -- market
 
@@ -358,7 +439,7 @@ class Engine:
         rows = self._statuses().filter(F.col("ts_us") >= self._since(minutes))
         wanted = symbols_of(symbols)
         rows = rows if wanted is None else rows.filter(F.col("symbol").isin(wanted))
-        return rows.orderBy(F.desc("ts_us")).limit(bounded(limit, MAX_STATUSES))
+        return rows.orderBy(F.desc("ts_us"), F.desc("event_id")).limit(bounded(limit, MAX_STATUSES))
 
     def bands(self, minutes: int = 240, symbols: Iterable[str] | None = None, limit: int = 100) -> DataFrame:
         rows = self.rows("stock_lulds", "symbol string, ts_us long, limit_up double, limit_down double, indicator string, tape string").filter(F.col("ts_us") >= self._since(minutes))
@@ -405,6 +486,28 @@ class Engine:
         missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(n)) for n, c in (("trade", "trade_us"), ("quote", "quote_us"), ("bar", "bar_ts")))))
         return out.withColumn("age_s", age).withColumn("stale", F.coalesce(age > STALE_SECONDS, F.lit(True))).withColumn("missing", missing)
 
+    def snapshots(self, symbols: Iterable[str]) -> DataFrame:
+        """The newest trade and quote, the newest minute bar, and the newest two daily bars of each symbol."""
+        wanted = symbols_of(symbols, MAX_SNAPSHOTS)
+        if not wanted:
+            raise RequestError("no_symbols")
+        bar = ["ts", *bar_ops.BAR_VALUES]
+        of = lambda name: self.rows(name).filter(F.col("symbol").isin(wanted))
+        one = lambda rows, order, values, name: rows.groupBy("symbol").agg(F.max_by(F.struct(*values), F.struct(*order)).alias(name))
+        days = bar_ops.newest(of("stock_bars").filter("timeframe = '1day'"), ["symbol"], [F.desc("ts")], 2)
+        daily = days.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*bar))).alias("_d"))
+        last = F.size("_d")
+        daily = daily.select("symbol", F.get("_d", last - 1).alias("daily_bar"), F.when(last > 1, F.get("_d", last - 2)).alias("prev_daily_bar"))
+        parts = (
+            one(of("stock_trades").filter("price IS NOT NULL"), ["ts_us", "ingest_seq"], ["ts_us", "price", "size", "exchange"], "latest_trade"),
+            one(of("stock_quotes"), ["ts_us", "ingest_seq"], ["ts_us", "bid_price", "bid_size", "ask_price", "ask_size"], "latest_quote"),
+            one(of("stock_bars").filter("timeframe = '1min'"), ["ts"], bar, "minute_bar"), daily,
+        )
+        out = self._requested(wanted)
+        for part in parts:
+            out = out.join(part, "symbol", "left")
+        return out
+
     def _daily(self) -> DataFrame:
         days = bar_ops.newest(self.rows("stock_bars").filter("timeframe = '1day'"), ["symbol"], [F.desc("ts")], 2)
         both = days.groupBy("symbol").agg(F.max_by("close", "ts").alias("price"), F.min_by("close", "ts").alias("before"), F.max_by("volume", "ts").alias("volume"), F.max_by("trade_count", "ts").alias("trade_count"), F.count(F.lit(1)).alias("_n"))
@@ -427,7 +530,8 @@ class Engine:
         moved = self.movers(top).select("symbol", "side", "price", "percent_change", F.lit(None).cast("long").alias("volume"))
         active = self.most_actives(top=top).select("symbol", F.lit("most_active").alias("side"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("percent_change"), "volume")
         fused = moved.unionAll(active).groupBy("symbol").agg(F.array_sort(F.collect_set("side")).alias("sources"), F.max("price").alias("price"), F.max("percent_change").alias("percent_change"), F.max("volume").alias("volume"))
-        news = self.symbol_map(min(news_minutes, MAX_SYMBOL_MAP_MINUTES), 1, MAX_SYMBOL_MAP).withColumnRenamed("articles", "news_count")
+        index = self.rows("news_symbol_index").filter(instant_us("received_at") >= self._since(min(news_minutes, MAX_SYMBOL_MAP_MINUTES)))
+        news = index.join(fused.select("symbol"), "symbol", "left_semi").groupBy("symbol").agg(F.count_distinct("article_id").alias("news_count"))
         flags = tape.halted(self._statuses()).select("symbol", F.lit(True).alias("halted"))
         out = fused.join(news, "symbol", "left").join(flags, "symbol", "left").fillna(0, ["news_count"]).fillna(False, ["halted"])
         out = out.withColumn("on_watchlist", F.col("symbol").isin(self.watchlist) if self.watchlist else F.lit(False))

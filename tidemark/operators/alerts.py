@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.triggers import leading_edge
 
-# The built-in vocabulary, its categories and severities.
+# Fixed values, down to RULE_KEYS: the built-in vocabulary, its categories and severities.
 KEYWORDS = {
     "mna": ["acquisition", "acquires", "merger", "takeover", "buyout", "strategic review", "deal", "offer"],
     "financing": ["offering", "registered direct", "atm", "private placement", "convertible", "notes", "dilution", "shelf"],
@@ -137,7 +137,7 @@ def direction(found: Column, rules: Rules) -> Column:
 def article_alerts(articles: DataFrame, rules: Rules = Rules(), interest: list[str] = (), latency_ms: int | None = 30_000) -> DataFrame:
     """Alerts of articles (``id``, ``headline``, ``summary``, ``content_text``, ``symbols``, ``received_us``, ``latest_us``, ``latency_ms``).
 
-    Gives ``article_id``, ``category``, ``severity``, ``symbols``, ``matches``, ``direction``.
+    Gives ``article_id``, ``category``, ``severity``, ``symbols``, ``matches``, ``direction``, ``reason``.
     Latency is receipt minus the newest content time, else the stored figure; None switches its alert off.
     """
     named = F.array_intersect(F.coalesce("symbols", F.array().cast("array<string>")), F.array(*map(F.lit, interest)).cast("array<string>"))
@@ -149,10 +149,11 @@ def article_alerts(articles: DataFrame, rules: Rules = Rules(), interest: list[s
     interested = F.size("_hits") > 0
     everyone = F.array_sort(F.array_distinct(F.when(F.size("symbols") > 0, F.col("symbols")).otherwise(F.col("_hits"))))
 
-    def alert(test: Column, name: str, severity: Column, symbols: Column, matches: Column, way: Column) -> Column:
-        return F.when(test, F.struct(F.lit(name).alias("category"), severity.alias("severity"), symbols.alias("symbols"), matches.alias("matches"), way.alias("direction")))
+    def alert(test: Column, name: str, severity: Column, symbols: Column, matches: Column, way: Column, why: Column) -> Column:
+        return F.when(test, F.struct(F.lit(name).alias("category"), severity.alias("severity"), symbols.alias("symbols"), matches.alias("matches"), way.alias("direction"), why.alias("reason")))
 
-    found = [alert(interested, "held_or_interested_symbol", F.lit("high"), F.array_sort("_hits"), none, F.col("_dir"))]
+    mention = F.concat(F.lit("article mentions interest symbol(s): "), F.array_join(F.array_sort("_hits"), ", "))
+    found = [alert(interested, "held_or_interested_symbol", F.lit("high"), F.array_sort("_hits"), none, F.col("_dir"), mention)]
     custom_before = F.lit(False)
     for i, group in enumerate(rules.groups):
         words = F.col(f"_g{i}")
@@ -162,11 +163,13 @@ def article_alerts(articles: DataFrame, rules: Rules = Rules(), interest: list[s
         test = F.size(words) > 0
         if group not in KEYWORDS:  # one custom alert for an article: that of the first group
             test, custom_before = test & ~custom_before, custom_before | test
-        found.append(alert(test, category(group), severity, everyone, F.array_sort(words), F.col("_dir")))
-    found.append(alert(F.size(among(found_words, BREAKING)) > 0, "breaking_keyword", F.when(interested, "high").otherwise("medium"), everyone, none, F.col("_dir")))
+        why = F.concat(F.lit(f"keyword match in {group}: "), F.array_join(F.array_sort(words), ", "))
+        found.append(alert(test, category(group), severity, everyone, F.array_sort(words), F.col("_dir"), why))
+    tagged = F.size(among(found_words, BREAKING)) > 0
+    found.append(alert(tagged, "breaking_keyword", F.when(interested, "high").otherwise("medium"), everyone, none, F.col("_dir"), F.lit("article tagged as breaking/developing")))
     if latency_ms is not None:
         late = F.coalesce(F.expr("(received_us - latest_us) div 1000"), F.col("latency_ms"))
-        found.append(alert(late >= latency_ms, "high_latency", F.lit("medium"), F.array_sort("symbols"), none, F.lit("neutral")))
+        found.append(alert(late >= latency_ms, "high_latency", F.lit("medium"), F.array_sort("symbols"), none, F.lit("neutral"), F.concat(F.lit("latency_ms="), late.cast("string"), F.lit(f" exceeds threshold {latency_ms}"))))
     out = base.select(F.col("id").alias("article_id"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_a"))
     return out.select("article_id", "_a.*")
 
@@ -182,19 +185,71 @@ def without_copies(alerts: DataFrame, window_us: int = 86_400_000_000) -> DataFr
     return kept.unionByName(once.filter(F.col("content_hash").isNull()))
 
 
+#: Fixed value: seconds in which a symbol's repeated alert of one category is held back.
+MARKET_QUIET_SECONDS = 300
+
+
+def _market_alert(category: Column, severity: Column, reason: Column, direction: Column) -> list[Column]:
+    return ["symbol", "ts_us", category.alias("category"), severity.alias("severity"), F.array(F.upper("symbol")).alias("symbols"), reason.alias("reason"), direction.alias("direction")]
+
+
+def _flagged(rows: DataFrame, important: DataFrame) -> DataFrame:
+    return rows.join(important.select("symbol", F.lit(True).alias("_watched")).distinct(), "symbol", "left").withColumn("_watched", F.coalesce("_watched", F.lit(False)))
+
+
 def status_alerts(statuses: DataFrame, important: DataFrame, background: bool = True) -> DataFrame:
-    """Halts and resumptions among statuses (``symbol``, ``ts_us``, ``status_code``, ``status_msg``).
+    """Halts and resumptions among statuses (``symbol``, ``ts_us``, ``status_code``, ``status_msg``, ``reason_code``, ``reason_msg``).
 
-    ``important`` lists watched symbols; others are background where the feed covers the whole market.
+    ``important`` lists watched symbols; others are background where the feed covers the whole market. Feeds may lack the reason.
     """
+    for name in ("reason_code", "reason_msg"):
+        if name not in statuses.columns:
+            statuses = statuses.withColumn(name, F.lit(None).cast("string"))
     code, message = F.upper(F.coalesce("status_code", F.lit(""))), F.lower(F.coalesce("status_msg", F.lit("")))
     halt = (code == "H") | F.contains(message, F.lit("halt")) | F.contains(message, F.lit("pause"))
     resume = code.isin("T", "R") | F.contains(message, F.lit("resum")) | F.contains(message, F.lit("trading"))
-    out = statuses.join(important.select("symbol", F.lit(True).alias("_watched")), "symbol", "left")
-    watched = F.coalesce("_watched", F.lit(False))
+    watched = F.col("_watched")
     severity = F.when(halt, F.when(watched, "critical").otherwise("low" if background else "high")).otherwise(F.when(watched, "medium").otherwise("low" if background else "medium"))
-    kind = F.when(halt, "trading_halt").when(resume, "trading_resume")
-    return out.withColumn("severity", severity).withColumn("category", kind).filter(F.col("category").isNotNull()).drop("_watched")
+    text = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    detail = F.concat_ws("; ", text("status_msg"), F.coalesce(text("reason_msg"), text("reason_code")))
+    reason = F.concat(F.upper("symbol"), F.lit(" trading status: "), F.when(detail != "", detail).otherwise(code))
+    out = _flagged(statuses, important).select(*_market_alert(F.when(halt, "trading_halt").when(resume, "trading_resume"), severity, reason, F.lit("neutral")))
+    return out.filter(F.col("category").isNotNull())
+
+
+def band_alerts(bands: DataFrame) -> DataFrame:
+    """An alert for each update of price bands (``symbol``, ``ts_us``, ``limit_up``, ``limit_down``, ``indicator``)."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    reason = F.concat(F.upper("symbol"), F.lit(" LULD band update: limit_up="), shown("limit_up"), F.lit(" limit_down="), shown("limit_down"), F.lit(" indicator="), shown("indicator"))
+    return bands.select(*_market_alert(F.lit("luld"), F.lit("medium"), reason, F.lit("neutral")))
+
+
+def trigger_alerts(triggers: DataFrame, important: DataFrame, window_minutes: int = 5) -> DataFrame:
+    """Alerts of price and volume triggers (``symbol``, ``ts``, ``category``, ``value``, ``direction``)."""
+    name, value = F.upper("symbol"), F.col("value")
+    reason = (
+        F.when(F.col("category") == "price_move", F.concat(name, F.lit(" moved "), F.expr("format_number(value, '+0.00;-0.00')"), F.lit(f"% in ~{window_minutes} minutes")))
+        .when(F.col("category") == "volume_spike", F.concat(name, F.lit(" minute volume "), F.expr("format_number(value, '0.0')"), F.lit("x its rolling average")))
+        .otherwise(F.concat(name, F.lit(" broke its day "), F.when(F.col("direction") == "bullish", "high").otherwise("low"), F.lit(" ("), value.cast("string"), F.lit(")")))
+    )
+    rows = _flagged(triggers.withColumn("ts_us", F.col("ts") * 1_000_000), important)
+    return rows.select(*_market_alert(F.col("category"), F.when(F.col("_watched"), "high").otherwise("medium"), reason, F.col("direction")))
+
+
+def quieted(market_alerts: DataFrame, seconds: int = MARKET_QUIET_SECONDS) -> DataFrame:
+    """Market alerts without repeats of a symbol and category within less than ``seconds`` of a kept one."""
+    return leading_edge(market_alerts, ["symbol", "category"], "ts_us", seconds * 1_000_000)
+
+
+def watched_story_alerts(states: DataFrame, watched: list[int], rules: Rules = Rules()) -> DataFrame:
+    """An alert for every change of content (states after ``upsert.apply_updates``) of a watched article; ``article_id`` stays null, so none is held back as a repeat."""
+    text = F.lower(F.concat_ws(" ", F.nullif("headline", F.lit("")), F.nullif("summary", F.lit(""))))
+    rows = states.filter(F.col("id").isin(watched) & F.col("content_changed")).withColumn("_found", hits(text, [*rules.bullish, *rules.bearish]))
+    return rows.select(
+        F.lit(None).cast("long").alias("article_id"), F.lit("watched_story_update").alias("category"), F.lit("high").alias("severity"), F.array_sort(F.array_distinct("symbols")).alias("symbols"),
+        "headline", F.concat(F.lit("watched story updated (article_id="), F.col("id").cast("string"), F.lit(", update #"), F.col("update_count").cast("string"), F.lit(")")).alias("reason"),
+        direction(F.col("_found"), rules).alias("direction"), "received_at",
+    )
 
 
 def at_or_above(level: str) -> list[str]:

@@ -55,6 +55,21 @@ def rebucket(minute_bars: DataFrame, seconds: int) -> DataFrame:
     ).withColumnRenamed("bucket_ts", "ts")
 
 
+def rebucket_present(fetched: DataFrame, seconds: int) -> DataFrame:
+    """Longer bars from fetched minute bars that passed no store: the close is the last one that is there, missing volumes and counts are 0."""
+    bucket = floor_to(F.col("ts"), seconds)
+    volume = F.coalesce("volume", F.lit(0))
+    return fetched.groupBy("symbol", bucket.alias("bucket_ts")).agg(
+        F.min_by("open", "ts").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).alias("close"),
+        F.sum(volume).alias("volume"),
+        F.sum(F.coalesce("trade_count", F.lit(0))).alias("trade_count"),
+        (F.sum(F.col("vwap") * volume) / F.nullif(F.sum(F.when(F.col("vwap").isNotNull(), volume).otherwise(0)), F.lit(0))).alias("vwap"),
+    ).withColumnRenamed("bucket_ts", "ts")
+
+
 def newest(rows: DataFrame, group: list[str], order: list, limit: int) -> DataFrame:
     """The ``limit`` rows of each group that come first by ``order``; Spark cuts groups before the shuffle too."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

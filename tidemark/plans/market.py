@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.api import Engine
 from tidemark.functions.sessions import exchange_day, market_phase
 from tidemark.functions.times import floor_to, instant_us
 from tidemark.operators import bars as bar_ops
 from tidemark.operators import context, tape, triggers
+from tidemark.plans.problems import sql_instant_us
 from tidemark.sources.tables import table
 
 MINUTE_US = 60_000_000
@@ -37,7 +39,7 @@ def _minutes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stock_bars").filter("timeframe = '1min'")
 
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
+def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Six decimals, after a nudge that makes exact halves round alike in every engine."""
     return df.withColumns({n: F.round(F.col(n) + 1e-9, 6) for n in names})
 
@@ -51,19 +53,19 @@ def _statuses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bars_from_trades_1min(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bar_ops.bars_from_trades(_trades(spark, d), 60), "vwap")
+    return rounded(bar_ops.bars_from_trades(_trades(spark, d), 60), "vwap")
 
 
 def bars_5min(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bar_ops.rebucket(_minutes(spark, d), bar_ops.AGGREGATE_TIMEFRAMES["5min"]), "vwap")
+    return rounded(bar_ops.rebucket(_minutes(spark, d), bar_ops.AGGREGATE_TIMEFRAMES["5min"]), "vwap")
 
 
 def bars_15min(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bar_ops.rebucket(_minutes(spark, d), bar_ops.AGGREGATE_TIMEFRAMES["15min"]), "vwap")
+    return rounded(bar_ops.rebucket(_minutes(spark, d), bar_ops.AGGREGATE_TIMEFRAMES["15min"]), "vwap")
 
 
 def bars_1hour(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bar_ops.rebucket(_minutes(spark, d), bar_ops.AGGREGATE_TIMEFRAMES["1hour"]), "vwap")
+    return rounded(bar_ops.rebucket(_minutes(spark, d), bar_ops.AGGREGATE_TIMEFRAMES["1hour"]), "vwap")
 
 
 def bars_window(spark: SparkSession, d: str) -> DataFrame:
@@ -87,16 +89,16 @@ def quotes_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tape_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(tape.tape_stats(_trades(spark, d), TAPE_US), "vwap")
+    return rounded(tape.tape_stats(_trades(spark, d), TAPE_US), "vwap")
 
 
 def quote_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(tape.quote_stats(_quotes(spark, d), TAPE_US), "spread_bps", "bid_fraction")
+    return rounded(tape.quote_stats(_quotes(spark, d), TAPE_US), "spread_bps", "bid_fraction")
 
 
 def tape_with_quotes(spark: SparkSession, d: str) -> DataFrame:
     both = tape.tape_with_quotes(tape.tape_stats(_trades(spark, d), TAPE_US), tape.quote_stats(_quotes(spark, d), TAPE_US))
-    return _rounded(both, "vwap", "spread_bps", "bid_fraction")
+    return rounded(both, "vwap", "spread_bps", "bid_fraction")
 
 
 def watchlist_pulse(spark: SparkSession, d: str) -> DataFrame:
@@ -105,20 +107,20 @@ def watchlist_pulse(spark: SparkSession, d: str) -> DataFrame:
     recent = F.col("ts_us") >= since
     wanted = table(spark, d, "stock_bars").select("symbol").distinct().unionAll(spark.range(1).select(F.lit("UNKNOWN").alias("symbol")))
     out = tape.pulse(_trades(spark, d).filter(recent), _quotes(spark, d).filter(recent), wanted)
-    return _rounded(out, "spread_bps", "chg_pct")
+    return rounded(out, "spread_bps", "chg_pct")
 
 
 def session_indicators(spark: SparkSession, d: str) -> DataFrame:
     """RSI, moving averages and true range at the end of every symbol's exchange days."""
     rows = _minutes(spark, d).withColumn("day", exchange_day(F.col("ts")))
-    return _rounded(context.smoothed_indicators(rows, ["symbol", "day"]), "rsi_14", "ema_9", "ema_21", "atr_14")
+    return rounded(context.smoothed_indicators(rows, ["symbol", "day"]), "rsi_14", "ema_9", "ema_21", "atr_14")
 
 
 def symbol_context(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "stock_bars")
     halted = tape.halted(_statuses(spark, d))
     out = context.symbol_context(rows, halted, newest_value(rows.filter("timeframe = '1min'"), "ts"))
-    return _rounded(out, *(c for c, t in out.dtypes if t == "double"))
+    return rounded(out, *(c for c, t in out.dtypes if t == "double"))
 
 
 def exchange_day_volumes(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +147,7 @@ RULE = triggers.TriggerRule(move_pct=0.5, window_s=300, spike_ratio=3.0)
 
 def bar_triggers(spark: SparkSession, d: str) -> DataFrame:
     """All price moves, volume spikes and range breaks of the minute bars."""
-    return _rounded(triggers.triggers(_minutes(spark, d), RULE), "value")
+    return rounded(triggers.triggers(_minutes(spark, d), RULE), "value")
 
 
 def market_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -207,41 +209,23 @@ def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
-def _days(spark: SparkSession, d: str) -> DataFrame:
-    """Price and change of every symbol at its newest daily bar against the one before."""
-    rows = table(spark, d, "stock_bars").filter("timeframe = '1day'")
-    two = bar_ops.newest(rows, ["symbol"], [F.desc("ts")], 2)
-    at = F.col("ts")
-    both = two.groupBy("symbol").agg(F.max_by("close", at).alias("price"), F.min_by("close", at).alias("before"), F.max_by("volume", at).alias("volume"), F.count(F.lit(1)).alias("n"))
-    change = F.when(F.col("n") == 2, (F.col("price") - F.col("before")) / F.nullif(F.col("before"), F.lit(0.0)) * 100.0)
-    return both.select("symbol", "price", change.alias("percent_change"), "volume")
+def _engine(spark: SparkSession, d: str) -> Engine:
+    return Engine(spark, d, newest_value(_trades(spark, d), "ts_us"), extra={"stock_statuses": _statuses(spark, d)})
 
 
 def movers(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
     """The largest gains and losses in percent."""
-    days = _days(spark, d).filter("percent_change IS NOT NULL")
-    up = days.orderBy(F.desc("percent_change"), "symbol").limit(top).withColumn("side", F.lit("gainer"))
-    down = days.orderBy("percent_change", "symbol").limit(top).withColumn("side", F.lit("loser"))
-    return _rounded(up.unionAll(down).select("side", "symbol", "price", "percent_change"), "percent_change")
+    return rounded(_engine(spark, d).movers(top).select("side", "symbol", "price", "percent_change"), "percent_change")
 
 
 def most_actives(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
-    return _days(spark, d).orderBy(F.desc_nulls_last("volume"), "symbol").limit(top).select("symbol", "volume")
+    return _engine(spark, d).most_actives(top=top).select("symbol", "volume")
 
 
 def market_pulse(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
     """Gainers, losers and most active symbols as one list, with their news of the last two days."""
-    moved = movers(spark, d, top).select("symbol", F.col("side").alias("list"), "price", "percent_change", F.lit(None).cast("long").alias("volume"))
-    active = most_actives(spark, d, top).select("symbol", F.lit("most_active").alias("list"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("percent_change"), "volume")
-    fused = moved.unionAll(active).groupBy("symbol").agg(
-        F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),
-        F.max("price").alias("price"), F.max("percent_change").alias("percent_change"), F.max("volume").alias("volume"),
-    )
-    news = table(spark, d, "news_symbol_index").groupBy("symbol").agg(F.count_distinct("article_id").alias("news_count"))
-    halted = tape.halted(_statuses(spark, d)).select("symbol", F.lit(True).alias("halted"))
-    out = fused.join(news, "symbol", "left").join(halted, "symbol", "left")
-    out = out.withColumn("news_count", F.coalesce("news_count", F.lit(0).cast("long"))).withColumn("halted", F.coalesce("halted", F.lit(False)))
-    return out.orderBy(F.desc(F.abs(F.coalesce("percent_change", F.lit(0.0)))), F.desc(F.coalesce("volume", F.lit(0))), "symbol")
+    out = _engine(spark, d).market_pulse(top, 2880).withColumn("lists", F.array_join("sources", ","))
+    return rounded(out.select("symbol", "lists", "price", "percent_change", "volume", "news_count", "halted"), "percent_change")
 
 
 QUERIES = {
@@ -409,7 +393,7 @@ ORACLES = {
       {_DAYS},
       u AS (SELECT symbol, side AS list, price, percent_change, NULL AS volume FROM m UNION ALL SELECT symbol, 'most_active', NULL, NULL, volume FROM a),
       f AS (SELECT symbol, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, max(price) AS price, max(percent_change) AS percent_change, max(volume) AS volume FROM u GROUP BY 1),
-      n AS (SELECT symbol, count(DISTINCT article_id) AS news_count FROM news_symbol_index GROUP BY 1)
+      n AS (SELECT symbol, count(DISTINCT article_id) AS news_count FROM news_symbol_index WHERE {sql_instant_us('received_at')} >= (SELECT max(ts_us) FROM stock_trades) - 172800000000 GROUP BY 1)
       SELECT symbol, lists, price, percent_change, volume, coalesce(news_count, 0) AS news_count, symbol IN ({_HALTED}) AS halted FROM f LEFT JOIN n USING (symbol)""",
 }
 ORACLES = {name: sql.replace(", 6)", " + 1e-9::DOUBLE, 6)") for name, sql in ORACLES.items()}

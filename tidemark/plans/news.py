@@ -31,7 +31,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "news_symbol_index").withColumn("received_us", instant_us("received_at"))
 
 
-def _now(spark: SparkSession, d: str) -> int:
+def newest_arrival(spark: SparkSession, d: str) -> int:
     return newest_value(table(spark, d, "news_articles").select(instant_us("first_seen_at").alias("t")), "t")
 
 
@@ -67,7 +67,7 @@ def full_articles(spark: SparkSession, d: str) -> DataFrame:
 
 def recent_articles(spark: SparkSession, d: str) -> DataFrame:
     """The 200 newest articles of the last day."""
-    since = _now(spark, d) - DAY_US
+    since = newest_arrival(spark, d) - DAY_US
     recent = (F.col("updated_us") >= since) | (F.col("created_us") >= since) | (F.col("seen_us") >= since)
     return _articles(spark, d).filter(recent).orderBy(F.desc("at_us"), F.desc("id")).limit(200).select("id", "headline", "at_us")
 
@@ -97,23 +97,23 @@ def _alert_input(spark: SparkSession, d: str) -> DataFrame:
 EXTRA = {"commodities": {"phrases": ["copper", "steel"], "bullish": ["rallied"], "bearish": ["slipped"]}}
 
 
-def _alerts(spark: SparkSession, d: str) -> DataFrame:
+def keyword_alert_rows(spark: SparkSession, d: str) -> DataFrame:
     return alerts.article_alerts(_alert_input(spark, d), alerts.Rules().extended(EXTRA), ["SEVI"])
 
 
 def keyword_alerts(spark: SparkSession, d: str) -> DataFrame:
     """All alerts of all articles."""
-    return _alerts(spark, d).withColumn("symbols", F.array_join("symbols", ",")).withColumn("matches", F.array_join("matches", ","))
+    return keyword_alert_rows(spark, d).drop("reason").withColumn("symbols", F.array_join("symbols", ",")).withColumn("matches", F.array_join("matches", ","))
 
 
 def alert_counts(spark: SparkSession, d: str) -> DataFrame:
     """Alerts by category, severity and direction."""
-    return _alerts(spark, d).groupBy("category", "severity", "direction").agg(F.count(F.lit(1)).alias("alerts"))
+    return keyword_alert_rows(spark, d).groupBy("category", "severity", "direction").agg(F.count(F.lit(1)).alias("alerts"))
 
 
 def _stamped(spark: SparkSession, d: str) -> DataFrame:
     hashes = _alert_input(spark, d).select(F.col("id").alias("article_id"), "content_hash", F.col("seen_us").alias("created_us"))
-    return _alerts(spark, d).join(hashes, "article_id")
+    return keyword_alert_rows(spark, d).join(hashes, "article_id")
 
 
 def alerts_without_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ def symbol_pulse(spark: SparkSession, d: str) -> DataFrame:
     counts = index.groupBy("symbol").agg(F.count(F.lit(1)).alias("articles"))
     heads = index.join(_articles(spark, d).select(F.col("id").alias("article_id"), "headline", "at_us"), "article_id")
     newest_head = heads.filter("at_us IS NOT NULL").groupBy("symbol").agg(F.max_by(F.struct("headline", "at_us"), F.struct("at_us", "article_id")).alias("_h"))
-    named = _alerts(spark, d).select(F.explode("symbols").alias("symbol"), "direction")
+    named = keyword_alert_rows(spark, d).select(F.explode("symbols").alias("symbol"), "direction")
     ways = named.groupBy("symbol").agg(*(F.count_if(F.col("direction") == w).alias(w) for w in ("bullish", "bearish", "neutral")))
     out = counts.join(newest_head, "symbol", "left").join(ways, "symbol", "left")
     zero = F.lit(0).cast("long")
@@ -182,7 +182,9 @@ def oldest_numbers(spark: SparkSession, d: str) -> DataFrame:
 def seq_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Dense numbers by first arrival, then id, without one task holding all rows."""
     rows = _articles(spark, d).select("id", F.coalesce("seen_us", F.lit(0)).alias("seen_us"), F.lit(0).alias("_g"))
-    placed = with_positions(rows.withColumn("_hour", F.expr(f"seen_us div {HOUR_US}")), ["_g"], "_hour", ["seen_us", "id"])
+    # articles without arrival come first and are cut by their ids, the others by the hour
+    slot = F.when(F.col("seen_us") == 0, F.expr("id div 4096") - (1 << 50)).otherwise(F.expr(f"seen_us div {HOUR_US}"))
+    placed = with_positions(rows.withColumn("_hour", slot), ["_g"], "_hour", ["seen_us", "id"])
     return placed.select("id", (F.col("pos") + 1).cast("long").alias("seq"))
 
 
@@ -191,13 +193,17 @@ def search_like(spark: SparkSession, d: str) -> DataFrame:
     return search.containing(table(spark, d, "news_articles"), "uidanc").select("id", "headline")
 
 
+def spread_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that are searched, over all cores."""
+    return spread(table(spark, d, "news_articles").select("id", *search.FIELDS))
+
+
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
     """All articles with both terms in any inflection, ranked."""
-    found = search.search(spread(table(spark, d, "news_articles").select("id", *search.FIELDS)), "copper revenues")
-    return found.select("id", F.round("score", 6).alias("score"))
+    return search.scores(spread_texts(spark, d), "copper revenues").select("id", F.round("score", 6).alias("score"))
 
 
-def _feed(spark: SparkSession, d: str) -> DataFrame:
+def version_feed(spark: SparkSession, d: str) -> DataFrame:
     """The versions table as a feed of updates."""
     v = table(spark, d, "news_article_versions")
     text = lambda c: F.lit(None).cast("string").alias(c)
@@ -210,13 +216,13 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
 
 def article_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The articles after all versions were applied in order of arrival."""
-    states = upsert.apply_updates(_feed(spark, d), ["received_us", "version_id"])
+    states = upsert.apply_updates(version_feed(spark, d), ["received_us", "version_id"])
     return upsert.current(states).select("id", "headline", "summary", "updated_at", "source", "update_count", "first_seen_at", "last_seen_at")
 
 
 def article_version_rows(spark: SparkSession, d: str) -> DataFrame:
     """The versions that are new or change content."""
-    states = upsert.apply_updates(_feed(spark, d), ["received_us", "version_id"])
+    states = upsert.apply_updates(version_feed(spark, d), ["received_us", "version_id"])
     return upsert.new_versions(states).select("id", "version_id")
 
 
@@ -231,7 +237,7 @@ def article_versions(spark: SparkSession, d: str) -> DataFrame:
 def retention_keep(spark: SparkSession, d: str) -> DataFrame:
     """Rows that stay of each table if articles are kept for two days."""
     rows = _articles(spark, d)
-    gone = retention.expired(rows, F.col("seen_us"), _now(spark, d) - 2 * DAY_US)
+    gone = retention.expired(rows, F.col("seen_us"), newest_arrival(spark, d) - 2 * DAY_US)
     kept = rows.withColumnRenamed("id", "article_id").select("article_id")
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n")
     out = count(retention.keep_children(kept, gone), "news_articles")

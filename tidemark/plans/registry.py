@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, news, problems, streams
+from tidemark.plans import market, news, problems, streams, surface
 
 FLAGSHIP = "symbol_context"
-QUERIES = {**problems.QUERIES, **market.QUERIES, **news.QUERIES, **streams.QUERIES}
-ORACLES = {**problems.ORACLES, **market.ORACLES, **news.ORACLES, **streams.ORACLES}
+QUERIES = {**problems.QUERIES, **market.QUERIES, **news.QUERIES, **streams.QUERIES, **surface.QUERIES}
+ORACLES = {**problems.ORACLES, **market.ORACLES, **news.ORACLES, **streams.ORACLES, **surface.ORACLES}
