@@ -3,6 +3,9 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from tidemark.llm.automata import Automaton, _codes, reference_spans
 from tidemark.llm.spans import shared_share, shared_spans
 
 SCHEMA = "id long, body string, doc string, text string, gram string, a string"
@@ -85,3 +88,30 @@ def test_share(spark):
     spans = spark.createDataFrame([(1, 0, 20), (1, 30, 35)], "doc long, span_start long, span_end long")
     got = {r.doc: (r.n_chars, r.shared_chars, r.share) for r in shared_share(df, "id", "body", spans).collect()}
     assert got == {1: (50, 25, 0.5), 2: (0, 0, 0.0), 3: (0, 0, 0.0)}
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10**6), st.sampled_from(["ab", "abcdefgh 😀é"]), st.sampled_from([40, 1 << 17]))
+def test_automata_give_the_spans_of_the_reference(spark, seed, letters, shard_chars):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(9)]
+    for _ in range(14):
+        a, b = rng.randrange(9), rng.randrange(9)
+        i, j, n = rng.randint(0, len(texts[a])), rng.randint(0, len(texts[b])), rng.randint(10, 60)
+        texts[b] = texts[b][:j] + texts[a][i : i + n] + texts[b][j:]
+    rows = list(enumerate(texts)) + [(20, None), (None, texts[0])]
+    want = [r for r in _brute(rows, 20) if r[0] % 3 == 0]
+    got = reference_spans(_frame(spark, rows), "id", "body", F.col("id") % 3 == 0, 20, 8, shard_chars, sent_bytes=20_000)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_automata_without_reference_or_documents(spark):
+    for rows in ([], [(1, "x" * 500), (2, "x" * 500)], [(3, "short")]):
+        assert reference_spans(_frame(spark, rows), "id", "body", F.col("id") % 3 == 0).collect() == []
+    assert [tuple(r) for r in reference_spans(_frame(spark, [(1, "y" * 500), (3, "x" + "y" * 250)]), "id", "body", F.col("id") % 3 == 0).collect()] == [(3, 1, 251)]
+
+
+def test_matching_statistics():
+    text, other = Automaton.of([_codes("abracadabra"), _codes("banana")]), _codes("xbraca banan abra")
+    for a in (text, Automaton.from_bytes(text.to_bytes())):
+        assert [at for at, _ in a.windows(other, 4)] == [1, 2, 7, 8, 13]

@@ -74,11 +74,16 @@ def squeezed(text: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """The line with dates, numbers and names within sentences replaced by marks; itself if less than three words are left."""
-    named = lambda x: F.regexp_replace(x, NAME, "<n>")
-    counted = F.regexp_replace(named(F.regexp_replace(line, DATE, "<d>")), NUMBER, "<0>")
-    form = F.when(line.rlike("[0-9]"), counted).otherwise(named(line))
-    left = F.size(F.filter(F.split(form, " "), lambda w: ~F.startswith(w, F.lit("<"))))
-    return F.when(left >= LEAST_WORDS, form).otherwise(line)
+    dated = F.lit(False)
+    for hint in dict.fromkeys(["-", *(m[:3] for m in MONTHS.split("|"))]):
+        dated = dated | F.contains(line, F.lit(hint))
+    # most lines can have no date, and a plain search for its marks is far cheaper than the pattern
+    undated = F.when(dated, F.regexp_replace(line, DATE, "<d>")).otherwise(line)
+    uncounted = F.when(line.rlike("[0-9]"), F.regexp_replace(undated, NUMBER, "<0>")).otherwise(line)
+    form = F.regexp_replace(uncounted, NAME, "<n>")
+    left = lambda f: F.size(F.filter(F.split(f, " "), lambda w: ~F.startswith(w, F.lit("<"))))
+    # through an array, so that the form is computed once for both of its uses
+    return F.get(F.transform(F.array(form), lambda f: F.when(left(f) >= LEAST_WORDS, f).otherwise(line)), 0)
 
 
 def article_lines(articles: DataFrame, key: str, source: Column, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import source_name, symbol_list
-from tidemark.llm import boilerplate, bpe, cooccur, nearest, packing, spans
+from tidemark.llm import automata, boilerplate, bpe, cooccur, nearest, packing, spans
 from tidemark.operators.deliveries import TRADE_IDENTITY, first_deliveries
 from tidemark.session import spread
 from tidemark.sources.tables import table
@@ -116,13 +116,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_documents(spark, d), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
+def p9_reference(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the documents whose id is divisible by 20, against all documents, by broadcast suffix automata."""
+    found = automata.reference_spans(_documents(spark, d), "doc_id", "text", F.col("doc_id") % 20 == 0)
+    return found.withColumnRenamed("doc", "doc_id")
+
+
 def p9_share(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document is shared."""
     documents = _documents(spark, d)
     return spans.shared_share(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p6_found, p6_clean, p7_ids, p8_packs, p8_limits, p8_fill, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pairs, p6_found, p6_clean, p7_ids, p8_packs, p8_limits, p8_fill, p9_found, p9_reference, p9_share)}
 
 _FIRST = f"SELECT {', '.join(TRADE_IDENTITY)}, min(ingest_seq) AS ingest_seq FROM stock_trades GROUP BY {', '.join(TRADE_IDENTITY)}"
 
