@@ -148,3 +148,68 @@ def test_health_alerts_once_in_a_while():
 
     h = StreamHealth()
     assert h.note("s", "stream_error", "high", "x", 0.0) and not h.note("s", "stream_error", "high", "x", 899.0) and h.note("s", "stream_error", "high", "x", 900.0)
+
+
+def test_infrastructure_alerts():
+    from tidemark.streaming.health import StreamHealth, infrastructure_alert
+
+    made = {
+        ("stream_error", 402): infrastructure_alert("stream_error", "news", code=402, message="auth failed"), ("entitlement_error", 1): infrastructure_alert("entitlement_error", "news", code=1, message="no"),
+        ("stream_stale", 0): infrastructure_alert("stream_stale", "stocks", idle_seconds=130.4), ("gap_fill_failure", 0): infrastructure_alert("gap_fill_failure", "news", attempt=2, exhausted=False, error="x"),
+        ("gap_fill_failure", 1): infrastructure_alert("gap_fill_failure", "news", attempt=5, exhausted=True, error="x"), ("persist_failure", 0): infrastructure_alert("persist_failure", "news", batch_size=7, error="full"),
+        ("coverage_gap", 0): infrastructure_alert("coverage_gap", "news", start="a", end="b"),
+    }
+    assert [m["severity"] for m in made.values()] == ["critical", "high", "high", "high", "critical", "critical", "medium"]
+    assert all(m["category"] == k for (k, _), m in made.items()) and "7 item(s)" in made["persist_failure", 0]["reason"] and "130s" in made["stream_stale", 0]["reason"]
+    assert {m["category"] for m in made.values()} <= set(api.ALERT_CATEGORIES)
+    h = StreamHealth()
+    assert h.raise_alert("persist_failure", "news", 0.0, batch_size=1, error="x") and not h.raise_alert("persist_failure", "news", 10.0, batch_size=1, error="x") and len(h.alerts) == 1
+
+
+def test_history_and_backfill_by_the_engine(spark, small, tmp_path):
+    import json
+
+    from tidemark.streaming import publish
+
+    now = 1_641_600_000_000_000  # 2022-01-08
+    engine = api.Engine(spark, small, now, interest=["ACME"])
+    item = lambda i, day, **more: {"id": i, "headline": "Acme faces fraud probe", "symbols": ["ACME"], "created_at": f"2022-01-{day:02d}T10:00:00Z", **more}
+    pages = lambda *rows: spark.createDataFrame([(json.dumps(x), 0) for x in rows], "value string, page int")
+    articles = publish.Published(spark, f"{tmp_path}/news", publish.ARTICLES, ["id"])
+    alerts = publish.Published(spark, f"{tmp_path}/alerts", publish.ALERTS, ["alert_id"])
+    out = engine.fetch_history(articles, pages(item(1, 7), item(2, 1), item(3, 7, symbols=["X"])), 0, ["acme"], days=3)
+    assert (out["symbols"], out["ingested"], out["new"], out["status"]) == (["ACME"], 1, 1, "ok") and alerts.read().count() == 0
+    engine.watch_story(1)
+    out = engine.run_backfill(articles, alerts, pages(item(1, 7, updated_at="2022-01-07T12:00:00Z", headline="Acme settles"), item(4, 7), {"id": "?"}), 1, minutes=2880)
+    assert (out["new"], out["updated"], out["failed"], out["status"]) == (1, 1, 1, "incomplete")
+    stored = {(r.article_id, r.category): r for r in alerts.read().collect()}
+    assert {(4, "legal_regulatory_keyword"), (4, "held_or_interested_symbol"), (None, "watched_story_update")} <= set(stored) and not any(c == "high_latency" for _, c in stored)
+    seen = stored[4, "legal_regulatory_keyword"].alert_id
+    assert engine.acknowledge(alerts, seen) and not engine.acknowledge(alerts, "nope") and alerts.read().filter("acknowledged").count() == 1
+    bad = [
+        (lambda: engine.fetch_history(articles, pages(), 2, [" "]), "no_symbols"), (lambda: engine.fetch_history(articles, pages(), 2, ["A"], days=0), "invalid_days"), (lambda: engine.fetch_history(articles, pages(), 2, ["A"], max_articles=501), "limit_exceeded"),
+        (lambda: engine.fetch_history(articles, pages(), 2, list("ABCDEF")), "limit_exceeded"), (lambda: engine.run_backfill(articles, alerts, pages(), 2, 0), "invalid_minutes"), (lambda: engine.resource("nothing"), "unknown_resource"), (lambda: engine.snapshots([]), "no_symbols"),
+    ]
+    for call, code in bad:
+        with pytest.raises(api.RequestError) as e:
+            call()
+        assert e.value.code == code
+
+
+def test_resources_and_subscription(engine):
+    for path in ("recent", "alerts", "symbols", "symbols/SEVI", "article/1", "stats/latency", "stats/ingestion", "subscription", "watchlist", "latest/SEVI", "clock", "halts"):
+        got = engine.resource(path)
+        assert isinstance(got, dict) or got.limit(1).collect() is not None
+    state = engine.subscription({"trades": ["SEVI"], "news": ["*"]})
+    assert state["requested"]["trades"] == ["SEVI"] and state["missing"]["trades"] == [] and state["missing"]["quotes"] == ["SEVI"] and state["missing"]["news"] == []
+
+
+def test_index_and_scan_give_the_same_scores(spark, tmp_path):
+    from tidemark.operators import search
+
+    rows = [(1, "Copper prices rise", None, "copper, copper everywhere"), (2, "Wires", "state-of-the-art copper", "the art of state"), (3, None, None, None), (4, "Coppers", "", "state of art")]
+    df = spark.createDataFrame(rows, "id long, headline string, summary string, content_text string")
+    index = search.TermIndex(spark, f"{tmp_path}/index").build(df)
+    for query in ("copper", "copper prices", "state-of-the-art", "art-of", "nothing", "copper nothing", "", "...", "the state"):
+        short = lambda d: {r.id: round(r.score, 9) for r in d.collect()}
+        assert short(index.scores(query)) == short(search.scores(df, query)), query

@@ -20,6 +20,14 @@ def fill_starts(wanted: DataFrame, bars: DataFrame, now: int, fallback_s: int =
     return starts.withColumn("bucket", F.col("start") - F.col("start") % 300)
 
 
+def news_start(articles: DataFrame, now_us: int, overlap_s: int = 180, lookback_minutes: int = 60) -> DataFrame:
+    """``start_us`` from which articles are fetched after a gap: the newest update, else creation, that is stored
+    (``updated_us``, ``created_us``), else ``lookback_minutes`` back, and ``overlap_s`` before that.
+    """
+    newest = F.max(F.coalesce("updated_us", "created_us"))
+    return articles.agg((F.coalesce(newest, F.lit(now_us - lookback_minutes * 60_000_000)) - overlap_s * 1_000_000).alias("start_us"))
+
+
 def added_starts(added: DataFrame, now: int, minutes: int = 240) -> DataFrame:
     """From when the bars of symbols newly put on a watchlist are fetched; no symbols if ``minutes`` is 0."""
     start = F.lit(now - minutes * 60)

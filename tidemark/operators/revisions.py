@@ -87,6 +87,6 @@ def roll_up(log: DataFrame, keys: list[str], measures: list[str], coarse_us: int
     return settle(coarse, [*keys, "period_us"], measures)
 
 
-def revised_periods(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Periods whose result changed, or first came about, after their end."""
-    return log.filter((F.col("weight") == 1) & (F.col("version") > 0)).select(*keys, "period_us").distinct()
+def revised_periods(log: DataFrame, keys: list[str], measures: list[str] = ()) -> DataFrame:
+    """Periods whose result changed, or first came about, after their end: those whose settled state has a later version than 0."""
+    return settle(log, [*keys, "period_us"], list(measures)).filter("version > 0").select(*keys, "period_us")

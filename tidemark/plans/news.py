@@ -20,7 +20,7 @@ from tidemark.sources.tables import table
 HOUR_US = 3_600_000_000
 
 
-def _articles(spark: SparkSession, d: str) -> DataFrame:
+def timed_articles(spark: SparkSession, d: str) -> DataFrame:
     """Articles with instants: ``at_us`` is the update, else creation, else arrival."""
     rows = table(spark, d, "news_articles")
     made, updated, seen = instant_us("created_at"), instant_us("updated_at"), instant_us("first_seen_at")
@@ -41,7 +41,7 @@ def article_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_instants(spark: SparkSession, d: str) -> DataFrame:
-    return _articles(spark, d).select("id", "created_us", "updated_us", "seen_us", "at_us", source_name("source").alias("source"))
+    return timed_articles(spark, d).select("id", "created_us", "updated_us", "seen_us", "at_us", source_name("source").alias("source"))
 
 
 def article_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -69,13 +69,13 @@ def recent_articles(spark: SparkSession, d: str) -> DataFrame:
     """The 200 newest articles of the last day."""
     since = newest_arrival(spark, d) - DAY_US
     recent = (F.col("updated_us") >= since) | (F.col("created_us") >= since) | (F.col("seen_us") >= since)
-    return _articles(spark, d).filter(recent).orderBy(F.desc("at_us"), F.desc("id")).limit(200).select("id", "headline", "at_us")
+    return timed_articles(spark, d).filter(recent).orderBy(F.desc("at_us"), F.desc("id")).limit(200).select("id", "headline", "at_us")
 
 
 def articles_for_symbols(spark: SparkSession, d: str) -> DataFrame:
     """The 25 newest articles of every symbol."""
     index = _index(spark, d).select("symbol", "article_id").distinct()
-    both = index.join(_articles(spark, d).select(F.col("id").alias("article_id"), "headline", "at_us"), "article_id")
+    both = index.join(timed_articles(spark, d).select(F.col("id").alias("article_id"), "headline", "at_us"), "article_id")
     return newest(both, ["symbol"], [F.desc("at_us"), F.desc("article_id")], 25).select("symbol", "article_id", "headline", "at_us")
 
 
@@ -86,7 +86,7 @@ def symbol_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _alert_input(spark: SparkSession, d: str) -> DataFrame:
-    return spread(_articles(spark, d)).select(
+    return spread(timed_articles(spark, d)).select(
         "id", "headline", "summary", "content_text", symbol_list("symbols_json").alias("symbols"), "latency_ms", "seen_us",
         instant_us("last_seen_at").alias("received_us"), F.greatest("created_us", "updated_us").alias("latest_us"),
         content_hash(F.col("headline"), F.col("summary"), F.col("content_html")).alias("content_hash"),
@@ -125,7 +125,7 @@ def symbol_pulse(spark: SparkSession, d: str) -> DataFrame:
     """Articles, alerts by direction and the newest headline of every symbol."""
     index = _index(spark, d).select("symbol", "article_id").distinct()
     counts = index.groupBy("symbol").agg(F.count(F.lit(1)).alias("articles"))
-    heads = index.join(_articles(spark, d).select(F.col("id").alias("article_id"), "headline", "at_us"), "article_id")
+    heads = index.join(timed_articles(spark, d).select(F.col("id").alias("article_id"), "headline", "at_us"), "article_id")
     newest_head = heads.filter("at_us IS NOT NULL").groupBy("symbol").agg(F.max_by(F.struct("headline", "at_us"), F.struct("at_us", "article_id")).alias("_h"))
     named = keyword_alert_rows(spark, d).select(F.explode("symbols").alias("symbol"), "direction")
     ways = named.groupBy("symbol").agg(*(F.count_if(F.col("direction") == w).alias(w) for w in ("bullish", "bearish", "neutral")))
@@ -136,7 +136,7 @@ def symbol_pulse(spark: SparkSession, d: str) -> DataFrame:
 
 def breaking_digest(spark: SparkSession, d: str) -> DataFrame:
     """Of the 200 newest articles the 25 newest that carry a marker; markers here are words that occur."""
-    rows = _articles(spark, d).orderBy(F.desc("at_us"), F.desc("id")).limit(200)
+    rows = timed_articles(spark, d).orderBy(F.desc("at_us"), F.desc("id")).limit(200)
     text = F.lower(F.concat_ws(" ", "headline", "summary", "content_text"))
     marked = F.lit(False)
     for m in [*alerts.DIGEST_MARKERS, "guidance"]:
@@ -181,7 +181,7 @@ def oldest_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def seq_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Dense numbers by first arrival, then id, without one task holding all rows."""
-    rows = _articles(spark, d).select("id", F.coalesce("seen_us", F.lit(0)).alias("seen_us"), F.lit(0).alias("_g"))
+    rows = timed_articles(spark, d).select("id", F.coalesce("seen_us", F.lit(0)).alias("seen_us"), F.lit(0).alias("_g"))
     # articles without arrival come first and are cut by their ids, the others by the hour
     slot = F.when(F.col("seen_us") == 0, F.expr("id div 4096") - (1 << 50)).otherwise(F.expr(f"seen_us div {HOUR_US}"))
     placed = with_positions(rows.withColumn("_hour", slot), ["_g"], "_hour", ["seen_us", "id"])
@@ -236,7 +236,7 @@ def article_versions(spark: SparkSession, d: str) -> DataFrame:
 
 def retention_keep(spark: SparkSession, d: str) -> DataFrame:
     """Rows that stay of each table if articles are kept for two days."""
-    rows = _articles(spark, d)
+    rows = timed_articles(spark, d)
     gone = retention.expired(rows, F.col("seen_us"), newest_arrival(spark, d) - 2 * DAY_US)
     kept = rows.withColumnRenamed("id", "article_id").select("article_id")
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n")

@@ -409,6 +409,11 @@ def gap_starts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.fill_starts(wanted, rows, market.newest_value(rows.filter("timeframe = '1min'"), "ts") + 600)
 
 
+def news_gap_start(spark: SparkSession, d: str) -> DataFrame:
+    """From when articles are fetched again after a gap."""
+    return ingest.news_start(news.timed_articles(spark, d), news.newest_arrival(spark, d))
+
+
 def gap_rows(spark: SparkSession, d: str) -> DataFrame:
     """Fetched bars that are kept: those at or after their own symbol's start."""
     rows = table(spark, d, "stock_bars").filter("timeframe = '1min'")
@@ -448,7 +453,7 @@ def published_ticks(spark: SparkSession, d: str) -> DataFrame:
     for n in (0, 0, 1):
         store.insert({k: v.filter(F.pmod("ts_us", F.lit(2)) == n) for k, v in tables.items()}, n)
     store.keep_since("trades", market.newest_value(tables["trades"], "ts_us") - DAY_US)
-    parts = [store.read(k).agg(F.count(F.lit(1)).alias("n"), F.sum("ts_us").alias("checksum")).select(F.lit(k).alias("table_name"), "n", "checksum") for k in tables]
+    parts = [store.read(k).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ts_us") % 1_000_003).alias("checksum")).select(F.lit(k).alias("table_name"), "n", "checksum") for k in tables]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
@@ -464,7 +469,7 @@ def feed_trades(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "stock_trades")
     body = F.struct(F.lit("t").alias("T"), F.lower("symbol").alias("S"), _iso("ts_us").alias("t"), F.col("price").alias("p"), F.col("size").alias("s"), F.col("exchange").alias("x"), F.split("conditions", ",").alias("c"), F.col("tape").alias("z"), F.col("trade_id").alias("i"))
     out = frames.route(frames.decode(t.select(F.concat(F.lit("["), F.to_json(body), F.lit(",5]")).alias("value"))))["trades"]
-    return out.groupBy("symbol", "exchange", "conditions", "tape").agg(F.count(F.lit(1)).alias("n"), F.sum("ts_us").alias("times"), F.sum("size").alias("size"), F.max("price").alias("price"), F.sum("trade_id").alias("ids"))
+    return out.groupBy("symbol", "exchange", "conditions", "tape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ts_us") % 1_000_003).alias("times"), F.sum("size").alias("size"), F.max("price").alias("price"), F.sum(F.col("trade_id") % 1_000_003).alias("ids"))
 
 
 def feed_quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -475,7 +480,7 @@ def feed_quotes(spark: SparkSession, d: str) -> DataFrame:
         F.col("ask_price").alias("ap"), F.col("ask_size").alias("as"), F.col("ask_exchange").alias("ax"), F.split("conditions", ",").alias("c"), F.col("tape").alias("z"),
     )
     out = frames.route(frames.decode(q.select(F.to_json(body).alias("value"))))["quotes"]
-    return out.groupBy("symbol", "bid_exchange", "ask_exchange", "tape").agg(F.count(F.lit(1)).alias("n"), F.sum("ts_us").alias("times"), F.sum("bid_size").alias("bid_size"), F.sum("ask_size").alias("ask_size"), F.max("bid_price").alias("bid_price"), F.min("ask_price").alias("ask_price"))
+    return out.groupBy("symbol", "bid_exchange", "ask_exchange", "tape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ts_us") % 1_000_003).alias("times"), F.sum("bid_size").alias("bid_size"), F.sum("ask_size").alias("ask_size"), F.max("bid_price").alias("bid_price"), F.min("ask_price").alias("ask_price"))
 
 
 def feed_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -512,7 +517,7 @@ QUERIES = {
         surface_symbol_map, surface_news_pulse, surface_latency, surface_counts, surface_raw, surface_replay, surface_replayed, surface_status_keys, surface_alerts, surface_alerts_of,
         surface_alerts_page, alert_reasons, alerts_acknowledged, alert_store, status_alert_rows, band_alert_rows, trigger_alert_rows, story_alert_rows, article_merge, merged_index, symbol_changes,
         ingest_outcomes, published_articles, surface_trades, surface_quotes, surface_bars, surface_bars_page, surface_halts, surface_bands, surface_tape, surface_pulse, surface_latest,
-        surface_snapshots, surface_actives, surface_calendar, surface_actions, surface_started, event_phases_holidays, fetched_bars, gap_starts, gap_rows, added_backfill, tick_retention,
+        surface_snapshots, surface_actives, surface_calendar, surface_actions, surface_started, event_phases_holidays, fetched_bars, news_gap_start, gap_starts, gap_rows, added_backfill, tick_retention,
         published_bars, published_ticks, feed_trades, feed_quotes, feed_bars, feed_rest, feed_articles,
     )
 }
@@ -698,6 +703,7 @@ ORACLES = {
       WITH e AS (SELECT max(ts) + 600 AS n FROM stock_bars WHERE timeframe = '1min'), s AS (SELECT DISTINCT symbol FROM stock_bars UNION ALL SELECT 'UNKNOWN'),
       b AS (SELECT symbol, max(ts) AS ts FROM stock_bars WHERE timeframe = '1min' GROUP BY 1)
       SELECT symbol, greatest(coalesce(ts, n - 3600), n - 86400) AS start, greatest(coalesce(ts, n - 3600), n - 86400) // 300 * 300 AS bucket FROM s LEFT JOIN b USING (symbol), e""",
+    "news_gap_start": f"SELECT max(coalesce(updated_us, created_us)) - 180000000 AS start_us FROM {_ART}",
     "gap_rows": """
       WITH b AS (SELECT symbol, greatest(max(ts), (SELECT max(ts) FROM stock_bars WHERE timeframe = '1min') - 3600) AS start FROM stock_bars WHERE timeframe = '1min' GROUP BY 1)
       SELECT symbol, ts, close FROM stock_bars JOIN b USING (symbol) WHERE timeframe = '1min' AND ts >= start""",
@@ -707,10 +713,10 @@ ORACLES = {
       UNION ALL SELECT 'stock_bars', count(*) FROM stock_bars WHERE ts >= ({_TRADED} - 172800000000) // 1000000""",
     "published_bars": "SELECT symbol, timeframe, ts, CASE WHEN seq % 5 = 0 THEN close + 1 ELSE close END AS close, volume FROM stock_bars",
     "published_ticks": f"""
-      SELECT 'trades' AS table_name, count(*) AS n, CAST(sum(ts_us) AS BIGINT) AS checksum FROM stock_trades WHERE ts_us >= {_TRADED} - 86400000000 UNION ALL SELECT 'quotes', count(*), CAST(sum(ts_us) AS BIGINT) FROM stock_quotes
-      UNION ALL SELECT 'statuses', count(*), CAST(sum(ts_us) AS BIGINT) FROM {_STATUS} UNION ALL SELECT 'bands', count(*), CAST(sum(ts_us) AS BIGINT) FROM {_BANDS}""",
-    "feed_trades": "SELECT symbol, exchange, conditions, tape, count(*) AS n, CAST(sum(ts_us) AS BIGINT) AS times, CAST(sum(size) AS BIGINT) AS size, max(price) AS price, CAST(sum(trade_id) AS BIGINT) AS ids FROM stock_trades WHERE price IS NOT NULL GROUP BY 1, 2, 3, 4",
-    "feed_quotes": "SELECT symbol, bid_exchange, ask_exchange, tape, count(*) AS n, CAST(sum(ts_us) AS BIGINT) AS times, CAST(sum(bid_size) AS BIGINT) AS bid_size, CAST(sum(ask_size) AS BIGINT) AS ask_size, max(bid_price) AS bid_price, min(ask_price) AS ask_price FROM stock_quotes GROUP BY 1, 2, 3, 4",
+      SELECT 'trades' AS table_name, count(*) AS n, CAST(sum(ts_us % 1000003) AS BIGINT) AS checksum FROM stock_trades WHERE ts_us >= {_TRADED} - 86400000000 UNION ALL SELECT 'quotes', count(*), CAST(sum(ts_us % 1000003) AS BIGINT) FROM stock_quotes
+      UNION ALL SELECT 'statuses', count(*), CAST(sum(ts_us % 1000003) AS BIGINT) FROM {_STATUS} UNION ALL SELECT 'bands', count(*), CAST(sum(ts_us % 1000003) AS BIGINT) FROM {_BANDS}""",
+    "feed_trades": "SELECT symbol, exchange, conditions, tape, count(*) AS n, CAST(sum(ts_us % 1000003) AS BIGINT) AS times, CAST(sum(size) AS BIGINT) AS size, max(price) AS price, CAST(sum(trade_id % 1000003) AS BIGINT) AS ids FROM stock_trades WHERE price IS NOT NULL GROUP BY 1, 2, 3, 4",
+    "feed_quotes": "SELECT symbol, bid_exchange, ask_exchange, tape, count(*) AS n, CAST(sum(ts_us % 1000003) AS BIGINT) AS times, CAST(sum(bid_size) AS BIGINT) AS bid_size, CAST(sum(ask_size) AS BIGINT) AS ask_size, max(bid_price) AS bid_price, min(ask_price) AS ask_price FROM stock_quotes GROUP BY 1, 2, 3, 4",
     "feed_bars": "SELECT symbol, timeframe, ts, open, high, low, close, volume, trade_count, vwap, timeframe = '1min' AND seq % 2 = 0 AS is_first_print FROM stock_bars",
     "feed_rest": f"""
       SELECT 'statuses' AS table_name, code AS kind, count(*) AS n FROM {_STATUS} GROUP BY 2 UNION ALL SELECT 'bands', coalesce(indicator, '-'), count(*) FROM {_BANDS} GROUP BY 2
