@@ -2,9 +2,11 @@
 
 Items are placed under simultaneous limits on tokens, segments and loss-bearing
 tokens by the dot-product heuristic of vector bin packing: the next item of an open
-container is the fitting one whose size vector, brought to length one, has the largest
-scalar product with what is left, of equal ones the largest. So items that use the limits in
-the proportion that is left come first; with a single limit that is the largest item that fits.
+container is the fitting one whose size vector has the largest scalar product with what
+is left. Vectors are shortened to a power of their length first: at length one, items that use the
+limits in the proportion that is left come first, at their own length large ones do. Each lot is
+packed with two such powers, and the fewer containers count. With a single limit the next
+item is the largest that fits.
 
 Items are dealt into lots of about the same number, each lot is packed by one task, and
 its well-filled containers stay. Items of the others are dealt again, which are few, until
@@ -38,6 +40,8 @@ from tidemark.session import materialize
 
 #: Pieces of a lot, about: without and with a limit on loss-bearing tokens, which makes far more distinct sizes.
 LOT, LOSS_LOT = 1 << 16, 1 << 13
+#: How far size vectors are brought to length one (1) or left as they are (0), where there are several limits.
+POWERS = (0.6, 1.0)
 #: A container stays if one of its limits is used up to this share.
 FULL = 0.995
 #: Bits of a container's number for its place in the lot and for the lot.
@@ -79,7 +83,7 @@ def _pieces(items: DataFrame, kept: list[str]) -> DataFrame:
     )
 
 
-def patterns(tokens: np.ndarray, loss: np.ndarray, count: np.ndarray, limits: Limits) -> tuple[np.ndarray, int]:
+def patterns(tokens: np.ndarray, loss: np.ndarray, count: np.ndarray, limits: Limits, power: float = 0.0) -> tuple[np.ndarray, int]:
     """Rows (size, first rank, items of that size per container, first container) and the number of containers."""
     left = count.astype("int64").copy()
     taken = np.zeros(len(left), "int64")
@@ -95,11 +99,10 @@ def patterns(tokens: np.ndarray, loss: np.ndarray, count: np.ndarray, limits: Li
         room = limit.copy()
         used: dict[int, int] = {}
         stock = left[live].copy()
-        size, length, weight = sizes[:, live], norm[live], scaled[:, live] / norm[live]
+        size, weight = sizes[:, live], scaled[:, live] / norm[live] ** power
         fits = np.flatnonzero((size <= room[:, None]).all(0))
         while len(fits):
-            # the length decides between directions that are the same up to rounding
-            best = int(fits[np.argmax((room / whole[asked]) @ weight[:, fits] + 1e-9 * length[fits])])
+            best = int(fits[np.argmax((room / whole[asked]) @ weight[:, fits])])
             times = int(min(stock[best], room[0] // size[0, best])) if len(asked) == 1 else 1
             used[best] = used.get(best, 0) + times
             room = room - times * size[:, best]
@@ -120,7 +123,9 @@ def _containers(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> tuple[n
     """The container of each piece of a lot, and which containers are full. Pieces are sorted by tokens and loss."""
     new = np.r_[True, (tokens[1:] != tokens[:-1]) | (loss[1:] != loss[:-1])]
     first = np.flatnonzero(new)
-    table, made = patterns(tokens[first], loss[first], np.diff(np.append(first, len(tokens))), limits)
+    stock = tokens[first], loss[first], np.diff(np.append(first, len(tokens)))
+    powers = POWERS if limits.segments or limits.loss else (0.0,)
+    table, made = min((patterns(*stock, limits, power) for power in powers), key=lambda found: found[1])
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
     kind = np.cumsum(new) - 1
     rank = np.arange(len(tokens)) - first[kind]
