@@ -174,6 +174,10 @@ def search(articles: DataFrame, query: str, limit: int | None = None) -> DataFra
     return articles.join(found, "id")
 
 
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x + by)
+
+
 class TermIndex:
     """Postings of all articles in a folder: built once, then a query reads the postings of its own terms only.
 
@@ -233,7 +237,7 @@ class TermIndex:
             if len(phrase) == 1:
                 one = found.groupBy("id").agg(F.sum(F.size("places")).alias(f"h{i}"))
             else:
-                starts = [F.transform(F.col(f"_p{j}"), lambda x, j=j: x - j) for j in range(len(phrase))]
+                starts = [_moved(F.col(f"_p{j}"), -j) for j in range(len(phrase))]
                 lists = [F.first(F.when(F.col("term") == t, F.col("places")), ignorenulls=True).alias(f"_p{j}") for j, t in enumerate(phrase)]
                 met = found.groupBy("id", "field").agg(*lists)
                 both = reduce(F.array_intersect, starts)
