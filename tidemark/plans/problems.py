@@ -65,7 +65,7 @@ def p1_news_hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Loads in which the headline dimension is merged, by arrival.
-HISTORY_LOADS = 4
+HISTORY_LOADS = 2
 _RANK = ["received_us", "version_id"]
 
 
